@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.parquet import table
-from . import mixing, survivors, tokens
+from . import mixing, neighbours, survivors, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +48,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_truth(spark: SparkSession, d: str) -> DataFrame:
     return survivors.discovered(table(spark, d, "papers", *PAPER_IDS))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbour_pairs(table(spark, d, "paper_points", "id", "vector"))
