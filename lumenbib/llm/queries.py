@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.parquet import table
-from . import mixing, neighbours, survivors, tokens
+from . import languages, mixing, neighbours, survivors, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,3 +53,18 @@ def p4_truth(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, d, "paper_points", "id", "vector"))
+
+
+def _languages(spark: SparkSession, d: str) -> languages.Model:
+    return languages.train(table(spark, d, "lang_samples", "lang", "sample_text"), table(spark, d, "papers", "language", "abstract"))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.found(table(spark, d, "papers", "id", "language", "abstract"), _languages(spark, d)).select("paper_id", "seg_no", "lang")
+
+
+@query
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    s = languages.segment_documents(table(spark, d, "papers", "id", "language", "abstract"), _languages(spark, d), "id", "abstract", "language")
+    return s.select(F.col("id").alias("paper_id"), F.explode("segs").alias("s")).select("paper_id", "s.*").withColumn("confidence", F.round("confidence", 6))
