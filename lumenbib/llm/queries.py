@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.parquet import table
-from . import languages, mixing, neighbours, survivors, tokens
+from . import encodings, languages, mixing, neighbours, survivors, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_segments(spark: SparkSession, d: str) -> DataFrame:
     s = languages.segment_documents(table(spark, d, "papers", "id", "language", "abstract"), _languages(spark, d), "id", "abstract", "language")
     return s.select(F.col("id").alias("paper_id"), F.explode("segs").alias("s")).select("paper_id", "s.*").withColumn("confidence", F.round("confidence", 6))
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    model = encodings.train(table(spark, d, "lang_samples", "sample_text"), table(spark, d, "documents", "text"))
+    return encodings.found(table(spark, d, "documents", "doc_id", "text"), model)
