@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.parquet import table
-from . import encodings, languages, mixing, neighbours, survivors, tokens
+from . import encodings, languages, mixing, names, neighbours, survivors, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,3 +74,9 @@ def p3_segments(spark: SparkSession, d: str) -> DataFrame:
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     model = encodings.train(table(spark, d, "lang_samples", "sample_text"), table(spark, d, "documents", "text"))
     return encodings.found(table(spark, d, "documents", "doc_id", "text"), model)
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    authors = table(spark, d, "external_authors", "author_id", "display_name", "orcid", "institution_id")
+    return names.found(authors, table(spark, d, "external_institutions", "institution_id", "display_name", "ror", "country_code"))
