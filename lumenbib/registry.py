@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import nested
+from .plans import analytics, nested, relational
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _plan in (nested,):
+for _plan in (nested, relational, analytics):
     QUERIES |= _plan.QUERIES
     SQL |= _plan.SQL
