@@ -62,7 +62,7 @@ def topic_of_cluster(key: Column) -> Column:
 
 def merge_keywords(taxonomy: Column, extracted: Column) -> Column:
     """Taxonomy keywords, then extracted ones: trimmed, blanks dropped, of those that differ in case only the first kept."""
-    all_ = F.filter(F.transform(F.concat(F.coalesce(taxonomy, F.array().cast("array<string>")), F.coalesce(extracted, F.array().cast("array<string>"))), F.trim), lambda x: F.coalesce(x != "", F.lit(False)))
+    all_ = F.filter(F.transform(F.concat(F.coalesce(taxonomy, F.array().cast("array<string>")), F.coalesce(extracted, F.array().cast("array<string>"))), lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False)))
     keep = lambda seen, x: F.when(F.exists(seen, lambda y: F.lower(y) == F.lower(x)), seen).otherwise(F.concat(seen, F.array(x)))
     return F.aggregate(all_, F.array().cast("array<string>"), keep)
 
