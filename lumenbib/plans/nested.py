@@ -20,4 +20,33 @@ def p1_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables}
-SQL: dict[str, str] = {}
+
+_NODES = """
+WITH a AS (SELECT record_id, unnest(authors) AS e, generate_subscripts(authors, 1) AS i FROM external_papers),
+t AS (SELECT record_id, unnest(topics) AS e, generate_subscripts(topics, 1) AS i FROM external_papers),
+av0 AS (SELECT record_id, 'authors/' || i AS p, CASE WHEN json_valid(e.raw) THEN CAST(e.raw AS JSON) END AS v FROM a WHERE e IS NOT NULL),
+av AS (SELECT record_id, p, CASE WHEN json_type(v) = 'VARCHAR' THEN CASE WHEN json_valid(v ->> '$') THEN CAST(v ->> '$' AS JSON) END ELSE v END AS v FROM av0),
+tv0 AS (SELECT record_id, 'topics/' || i AS p, CASE WHEN json_valid(e.raw) THEN CAST(e.raw AS JSON) END AS v FROM t WHERE e IS NOT NULL),
+tv AS (SELECT record_id, p, CASE WHEN json_type(v) = 'VARCHAR' THEN CASE WHEN json_valid(v ->> '$') THEN CAST(v ->> '$' AS JSON) END ELSE v END AS v FROM tv0),
+af0 AS (SELECT record_id, p, CASE WHEN json_array_length(v, '$.affiliations') > 0 OR json_type(v, '$.affiliations') = 'OBJECT' THEN v -> '$.affiliations' WHEN (v -> '$.raw_affiliation_strings') IS NOT NULL THEN v -> '$.raw_affiliation_strings' ELSE v -> '$.raw_affiliation_string' END AS f FROM av),
+af1 AS (SELECT record_id, p, CASE WHEN json_type(f) = 'ARRAY' THEN CAST(f AS JSON[]) ELSE [f] END AS f FROM af0 WHERE f IS NOT NULL),
+af AS (SELECT record_id, p, unnest(f) AS f, generate_subscripts(f, 1) AS k FROM af1),
+aff AS (SELECT record_id, p, p || '/affiliations/' || k AS q, f, CASE WHEN json_type(f) = 'VARCHAR' THEN f ->> '$' ELSE f ->> '$.raw_affiliation_string' END AS ref FROM af WHERE f IS NOT NULL AND json_type(f) <> 'NULL'),
+ids0 AS (SELECT record_id, q, CASE WHEN json_type(f, '$.institution_ids') = 'ARRAY' THEN CAST(f -> '$.institution_ids' AS JSON[]) ELSE [f -> '$.institution_ids'] END AS x FROM aff WHERE json_type(f, '$.institution_ids') IN ('ARRAY', 'VARCHAR')),
+ids AS (SELECT record_id, q, unnest(x) AS x, generate_subscripts(x, 1) AS m FROM ids0),
+inst AS (SELECT record_id, 'authors/' || i AS p, unnest(e.institutions) AS x, generate_subscripts(e.institutions, 1) AS j FROM a WHERE e IS NOT NULL),
+lv AS (SELECT record_id, p, 'subfield' AS l, coalesce(v -> '$.subfield', v -> '$.hierarchy.subfield') AS x FROM tv
+ UNION ALL SELECT record_id, p, 'field', coalesce(v -> '$.field', v -> '$.hierarchy.field', v -> '$.subfield.field') FROM tv
+ UNION ALL SELECT record_id, p, 'domain', coalesce(v -> '$.domain', v -> '$.hierarchy.domain', v -> '$.field.domain', v -> '$.subfield.domain', v -> '$.subfield.field.domain') FROM tv),
+lr AS (SELECT record_id, p, l, CASE WHEN json_type(x) = 'VARCHAR' THEN x ->> '$' ELSE coalesce(x ->> '$.display_name', x ->> '$.name') END AS ref FROM lv),
+nodes AS (SELECT record_id, '' AS parent_path, 'authors/' || i AS child_path, coalesce(e.external_id, '') AS child_ref FROM a WHERE e IS NOT NULL
+UNION ALL SELECT record_id, '', 'topics/' || i, coalesce(e.external_id, '') FROM t WHERE e IS NOT NULL
+UNION ALL SELECT record_id, p, p || '/institutions/' || j, coalesce(x.external_id, '') FROM inst WHERE x IS NOT NULL
+UNION ALL SELECT record_id, p, q, coalesce(ref, '') FROM aff
+UNION ALL SELECT record_id, q, q || '/institution_ids/' || m, coalesce(x ->> '$', '') FROM ids WHERE json_type(x) <> 'NULL'
+UNION ALL SELECT record_id, p, p || '/' || l, ref FROM lr WHERE ref IS NOT NULL)
+"""
+SQL = {
+    "p1_found": _NODES + "SELECT record_id, parent_path, child_path, child_ref FROM nodes",
+    "p1_tables": _NODES + "SELECT regexp_replace(child_path, '/\\d+', '', 'g') AS schema_path, count(*) AS n_rows, count(DISTINCT record_id) AS n_records FROM nodes GROUP BY 1",
+}
