@@ -80,3 +80,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     authors = table(spark, d, "external_authors", "author_id", "display_name", "orcid", "institution_id")
     return names.found(authors, table(spark, d, "external_institutions", "institution_id", "display_name", "ror", "country_code"))
+
+
+#: Groups by a recursive walk over shared identifiers; for small tables.
+SQL["p4_found"] = """
+WITH RECURSIVE c0 AS (SELECT id, updated_at, regexp_replace(replace(replace(lower(regexp_replace(doi, '\\s+', '', 'g')), '%2f', '/'), '%25', '%'), '[.,;/]+$', '') AS d,
+  regexp_extract(upper(trim(openalex_id)), '(?:^|[/:\\s])W(\\d+)/*$', 1) AS w, CASE WHEN cited_by_count >= 0 THEN CAST(cited_by_count AS BIGINT) END AS n FROM papers),
+c AS (SELECT id, updated_at, n, CASE WHEN regexp_matches(d, '10\\.\\d{4,9}/.+$') AND NOT regexp_matches(d, '10\\.0+/') THEN regexp_extract(d, '(10\\.\\d{4,9}/.+)$', 1) END AS doi, CASE WHEN w <> '' AND NOT regexp_matches(w, '^0+$') THEN 'W' || w END AS wid FROM c0),
+k AS (SELECT id, 'd' || doi AS k FROM c WHERE doi IS NOT NULL UNION SELECT id, 'w' || wid FROM c WHERE wid IS NOT NULL),
+e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.k = b.k),
+r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+g AS (SELECT id, min(root) AS group_id FROM r GROUP BY 1),
+m AS (SELECT group_id FROM g GROUP BY 1 HAVING count(*) > 1)
+SELECT g.group_id, coalesce(arg_max(doi, updated_at) FILTER (WHERE doi IS NOT NULL), '') AS doi, coalesce(arg_max(wid, updated_at) FILTER (WHERE wid IS NOT NULL), '') AS openalex_id, coalesce(arg_max(n, updated_at) FILTER (WHERE n IS NOT NULL), -1) AS cited_by_count
+FROM g JOIN m ON m.group_id = g.group_id JOIN c ON c.id = g.id GROUP BY 1"""
