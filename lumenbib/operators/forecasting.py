@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .parallel import spread_groups
+
 #: Season, least points for a backtest and for SARIMAX, most SARIMAX candidates, near-tie factor, z of 95 %.
 SEASON, MIN_BACKTEST, MIN_SARIMAX, MAX_SARIMAX, NEAR_TIE, Z95 = 12, 24, 36, 24, 1.05, 1.96
 #: Preference of model families among near ties (fixed values).
@@ -348,4 +350,4 @@ def forecast(df: DataFrame, key: str, month: str, value: str, horizon: int, kind
         rows.insert(0, key, g[key].iloc[0])
         return rows.astype({"mae": float, "mape": float, "smape": float})
 
-    return df.select(key, month, value).groupBy(key).applyInPandas(one, f"{key} {df.schema[key].dataType.simpleString()}, {SCHEMA}")
+    return spread_groups(df.select(key, month, value), key).groupBy(key).applyInPandas(one, f"{key} {df.schema[key].dataType.simpleString()}, {SCHEMA}")

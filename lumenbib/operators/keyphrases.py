@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.text import STOPWORDS, TOKEN
+from .parallel import spread
 
 STOP = set(STOPWORDS)
 #: Word endings that speak for a noun or an adjective where no tagger is there (fixed values).
@@ -195,4 +196,4 @@ def extract_documents(df: DataFrame, id_col: str, text_col: str, top_k: int = 10
             rows = [(i, *x) for i, t in zip(b[id_col], b[text_col]) for x in extract(t, top_k, weights)]
             yield pd.DataFrame(rows, columns=[id_col, "keyphrase", "score", "rank", "first_pos"])
 
-    return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, {SCHEMA}")
+    return spread(df.select(id_col, text_col)).mapInPandas(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, {SCHEMA}")
