@@ -11,12 +11,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.parallel import spread
+
 #: Names and codes of the languages, besides the two-letter code (fixed values).
 NAMES = {
     "en": "eng english anglais englisch inglés inglese inglês angielski английский",
@@ -67,6 +70,7 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=1 << 16)
 def plain(sentence: str) -> str:
     """The sentence as it is scored: lower case, without quotations, brackets, codes and numbers (unless nothing else is there)."""
     for cut in (lambda s: _CODE.sub(" ", _QUOTED.sub(" ", s)), lambda s: s):
@@ -174,7 +178,7 @@ def label_language(label: Column) -> Column:
     return table[base]
 
 
-def train(samples: DataFrame, labelled: DataFrame | None = None, per_language: int = 400, rounds: int = 2) -> Model:
+def train(samples: DataFrame, labelled: DataFrame | None = None, per_language: int = 250, rounds: int = 2) -> Model:
     """Fit on samples (lang, text), a fixed table, and on a bounded sample of labelled documents (label, text).
 
     Of the documents, those `per_language` of each language with the smallest hashes are taken. Labels may be wrong:
@@ -204,7 +208,7 @@ def segment_documents(df: DataFrame, model: Model, id_col: str, text_col: str, l
         for s in batches:
             yield pd.Series([[dict(zip(("seg_no", "lang", "confidence", "start_char", "end_char"), x)) for x in runs] for runs in segments(m, list(s))], dtype=object)
 
-    return df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), run(F.col(text_col)).alias("segs"))
+    return spread(df.select(id_col, label_col, text_col)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), run(F.col(text_col)).alias("segs"))
 
 
 def found(df: DataFrame, model: Model, id_col: str = "id", text_col: str = "abstract", label_col: str = "language") -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.parallel import spread
+
 DEFAULT_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
 #: The pattern that splits a text before the merges, as published with the vocabulary (a fixed value).
@@ -130,7 +132,7 @@ def encode_documents(
     """
     encode = _encoder(directory, name)
     length = F.coalesce(F.col(length_col), F.lit(0)) if length_col else F.coalesce(F.length(text_col), F.lit(0))
-    short = df.filter(length <= chunk_chars).select(F.col(id_col), encode(F.col(text_col)).alias("ids"))
+    short = spread(df.filter(length <= chunk_chars).select(id_col, text_col)).select(F.col(id_col), encode(F.col(text_col)).alias("ids"))
     long = _long_ids(df.filter(length > chunk_chars).filter(F.length(text_col) > 0), id_col, text_col, encode, chunk_chars, overlap_chars)
     # a length that speaks of a text which isn't there
     none = df.filter((length > chunk_chars) & (F.coalesce(F.length(text_col), F.lit(0)) == 0)).select(F.col(id_col), F.array().cast("array<int>").alias("ids"))
