@@ -73,10 +73,11 @@ def split_oversized(messages: DataFrame, limit: int) -> DataFrame:
 def dedupe_locks(tasks: DataFrame, key: list[str], ts: str, ttl_seconds: int) -> DataFrame:
     """Tasks whose key holds no lock: a task that passes locks its key for ttl seconds; one lock's length is the unit.
 
-    Rows of a key are walked in order of time in one aggregation state: a fold over its sorted times.
+    A key's state is its distinct seconds, put together by partial aggregation: however many rows a key has, it is no
+    larger than the span of time. They are walked in order by one fold.
     """
     t = F.unix_timestamp(F.col(ts))
-    g = tasks.groupBy(*key).agg(F.array_sort(F.collect_list(t)).alias("_t"))
+    g = tasks.groupBy(*key).agg(F.array_sort(F.collect_set(t)).alias("_t"))
     zero = F.array().cast("array<bigint>")
     step = lambda acc, x: F.when((F.size(acc) == 0) | (x >= F.element_at(F.concat(F.array(F.lit(-(1 << 60)).cast("bigint")), acc), -1) + ttl_seconds), F.concat(acc, F.array(x))).otherwise(acc)
     return g.select(*key, F.explode(F.aggregate("_t", zero, step)).alias("locked_at"))
