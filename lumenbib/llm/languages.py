@@ -208,6 +208,7 @@ def segment_documents(df: DataFrame, model: Model, id_col: str, text_col: str, l
         for s in batches:
             yield pd.Series([[dict(zip(("seg_no", "lang", "confidence", "start_char", "end_char"), x)) for x in runs] for runs in segments(m, list(s))], dtype=object)
 
+    run = run.asNondeterministic()  # or a filter on the result would be pushed below and evaluate it twice
     return spread(df.select(id_col, label_col, text_col)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), run(F.col(text_col)).alias("segs"))
 
 
