@@ -4,7 +4,7 @@ Method: capped water-filling. Every source of a mix may give at most its tokens
 reach their share are clamped there and the weight they leave is handed to the others in proportion to their shares,
 until no further source is clamped. Ordered by capacity per unit of share, the clamped sources are a prefix, so the
 level is found with one running sum per mix instead of a loop. Whole repetitions are copied; the fractional one is
-drawn by a seeded hash of the document.
+drawn in the order of a seeded hash of the documents, as far as its share of the tokens goes.
 """
 
 from __future__ import annotations
@@ -12,9 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.checkpoints import cut
 from ..operators.parallel import spread
 from .tokens import DEFAULT_DIR, VOCABULARY, count_tokens
 
+#: Slices of a source's documents by hash, the finest that its fractional repetition is cut at.
+SLICES = 4_096
+
+
+def document_tokens(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", directory: str = DEFAULT_DIR, name: str = VOCABULARY) -> DataFrame:
+    """(id, source, tokens) of every document, counted once and kept."""
+    documents = spread(documents.select(id_col, source_col, text_col))
+    return cut(documents.select(id_col, F.col(source_col).alias("source"), count_tokens(documents, text_col, directory, name).alias("tokens")))
+
 
 def source_tokens(documents: DataFrame, source_col: str = "source", text_col: str = "text", directory: str = DEFAULT_DIR, name: str = VOCABULARY) -> DataFrame:
     """(source, docs, tokens) over all documents; partial sums are taken before the shuffle, so a source may be of any size.
@@ -22,7 +32,11 @@ def source_tokens(documents: DataFrame, source_col: str = "source", text_col: st
     Null and empty texts count as documents of no tokens; a null source is a group of its own, which no target names.
     """
     documents = spread(documents.select(source_col, text_col))
-    sized = documents.select(F.col(source_col).alias("source"), count_tokens(documents, text_col, directory, name).alias("tokens"))
+    return source_sums(documents.select(F.col(source_col).alias("source"), count_tokens(documents, text_col, directory, name).alias("tokens")))
+
+
+def source_sums(sized: DataFrame) -> DataFrame:
+    """(source, docs, tokens) of documents whose tokens are counted."""
     return sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
 
 
@@ -31,7 +45,8 @@ def water_fill(targets: DataFrame, sizes: DataFrame) -> DataFrame:
 
     One row per row of targets: tokens (0 for a source without documents), wanted = share x ratio x all tokens, capacity
     = tokens x max_repeats, unreachable (capacity < wanted), clamped (after redistribution), allocated tokens, epochs
-    (allocated per token of the source, null without tokens), and actual_share of what the whole mix gets. Null numbers
+    (allocated per token of the source, null without tokens), and planned_share of what the whole mix is to get; what
+    it does get is measured by `drawn_shares`. Null numbers
     in targets count as 0; targets is the small side, sizes has one row per source.
     """
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("all_tokens"))
@@ -52,18 +67,39 @@ def water_fill(targets: DataFrame, sizes: DataFrame) -> DataFrame:
     x = x.withColumn("water", F.max(F.when(~F.col("clamped"), F.col("if_level"))).over(mix))
     x = x.withColumn("allocated", F.when(F.col("clamped"), F.col("capacity")).otherwise(F.least(F.col("capacity"), F.col("target_share") * F.coalesce("water", F.lit(0.0)))))
     x = x.withColumn("epochs", F.col("allocated") / F.nullif(F.col("tokens").cast("double"), F.lit(0.0)))
-    x = x.withColumn("actual_share", F.col("allocated") / F.nullif(F.sum("allocated").over(mix), F.lit(0.0)))
-    return x.select("mix_id", "source", "target_share", "max_repeats", "size_ratio", "tokens", "all_tokens", "wanted", "capacity", "unreachable", "clamped", "allocated", "epochs", "actual_share")
+    x = x.withColumn("planned_share", F.col("allocated") / F.nullif(F.sum("allocated").over(mix), F.lit(0.0)))
+    return x.select("mix_id", "source", "target_share", "max_repeats", "size_ratio", "tokens", "all_tokens", "wanted", "capacity", "unreachable", "clamped", "allocated", "epochs", "planned_share")
 
 
-def sample_mix(documents: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 17) -> DataFrame:
-    """(mix_id, id, source, copies): how often each document goes into each mix; documents of no copies give no row.
+def sample_mix(documents: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 17, tokens_col: str | None = None) -> DataFrame:
+    """(mix_id, id, source, copies, tokens): how often each document goes into each mix; documents of no copies give no row.
 
-    copies = the whole part of the source's epochs, plus one if a seeded hash of (mix, id) falls below the fraction, so
-    the draw is the same on every run and every partitioning. The plan has a row per mix and source and is broadcast.
+    copies = the whole part of the source's epochs, plus one for the documents of the lowest seeded hashes of (mix, id)
+    that together come nearest to the fraction of the source's tokens (of its documents without tokens_col, each then
+    counting 1), to a slice of SLICES. So the draw is the same on every run and every partitioning. The plan has a row
+    per mix and source, and SLICES times as many sums are looked at; both are broadcast or small.
     """
     p = plan.filter(F.col("epochs") > 0).select("mix_id", F.col("source").alias("_source"), "epochs")
-    d = documents.select(F.col(id_col), F.col(source_col).alias("source"))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("mix_id"), F.col(id_col)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    x = d.join(F.broadcast(p), d["source"] == p["_source"]).withColumn("copies", (F.floor("epochs") + (u < F.col("epochs") - F.floor("epochs")).cast("int")).cast("int"))
-    return x.filter(F.col("copies") > 0).select("mix_id", id_col, "source", "copies")
+    weight = F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)) if tokens_col else F.lit(1).cast("long")
+    d = documents.select(F.col(id_col), F.col(source_col).alias("source"), weight.alias("tokens"))
+    x = d.join(F.broadcast(p), d["source"] == p["_source"])
+    x = x.withColumn("slice", F.pmod(F.xxhash64(F.lit(seed), F.col("mix_id"), F.col(id_col)), F.lit(SLICES)))
+    part = F.col("epochs") - F.floor("epochs")
+    of = Window.partitionBy("mix_id", "source")
+    below = F.coalesce(F.sum("w").over(of.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = x.groupBy("mix_id", "source", "epochs", "slice").agg(F.sum("tokens").alias("w"))
+    taken = sums.withColumn("goal", part * F.sum("w").over(of)).withColumn("below", below).filter((part > 0) & (F.col("below") + F.col("w") / 2 <= F.col("goal")))
+    last = taken.groupBy("mix_id", "source").agg(F.max("slice").alias("last"))
+    x = x.join(F.broadcast(last), ["mix_id", "source"], "left")
+    x = x.withColumn("copies", (F.floor("epochs") + (F.col("slice") <= F.coalesce("last", F.lit(-1))).cast("int")).cast("int"))
+    return x.filter(F.col("copies") > 0).select("mix_id", id_col, "source", "copies", "tokens")
+
+
+def drawn_shares(plan: DataFrame, mix: DataFrame) -> DataFrame:
+    """plan with drawn, the tokens x copies of each mix and source in the mix that was made, and actual_share of the mix's sum.
+
+    Sources nothing is drawn from have 0; a mix of no tokens has null shares. mix is summed to a row per row of plan.
+    """
+    sums = mix.groupBy("mix_id", "source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("drawn"))
+    x = plan.join(sums, ["mix_id", "source"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    return x.withColumn("actual_share", F.col("drawn") / F.nullif(F.sum("drawn").over(Window.partitionBy("mix_id")).cast("double"), F.lit(0.0)))

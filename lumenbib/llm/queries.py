@@ -30,11 +30,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.water_fill(table(spark, d, "mix_targets"), sizes).filter("unreachable").select("mix_id", "source")
 
 
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The plan of the mixes and the mixes drawn by it from all documents."""
+    sized = mixing.document_tokens(table(spark, d, "documents", "doc_id", "source", "text"))
+    plan = mixing.water_fill(table(spark, d, "mix_targets"), mixing.source_sums(sized))
+    return plan, mixing.sample_mix(sized, plan, tokens_col="tokens")
+
+
 @query
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    sizes = mixing.source_tokens(table(spark, d, "documents", "source", "text"))
-    plan = mixing.water_fill(table(spark, d, "mix_targets"), sizes)
-    return plan.select("mix_id", "source", "tokens", "clamped", *[F.round(c, 6).alias(c) for c in ("epochs", "actual_share")])
+    x = mixing.drawn_shares(*_mix(spark, d))
+    return x.select("mix_id", "source", "tokens", "clamped", "drawn", *[F.round(c, 6).alias(c) for c in ("epochs", "planned_share", "actual_share")])
+
+
+@query
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
 
 
 PAPER_IDS = ("id", "doi", "openalex_id", "cited_by_count", "updated_at")

@@ -93,3 +93,31 @@ def test_water_fill_edges(spark):
     got = {(r["mix_id"], r["source"]): r for r in mixing.water_fill(t, sizes).collect()}
     assert got[1, "gone"]["unreachable"] and got[1, "gone"]["tokens"] == 0 and got[1, "gone"]["epochs"] is None
     assert len(got) == 3 and mixing.water_fill(t.limit(0), sizes).count() == 0
+
+
+def test_shares_are_drawn(spark):
+    r = random.Random(2)
+    sizes = {i: int(r.paretovariate(1.3) * 10) for i in range(3000)}
+    docs = spark.createDataFrame([(i, f"s{i % 3}", n) for i, n in sizes.items()] + [(9999, None, 5)], "doc_id bigint, source string, tokens bigint")
+    t = spark.createDataFrame([(1, "s0", 0.5, 1, 0.3), (1, "s1", 0.2, 4, 0.3), (1, "gone", 0.3, 2, 0.3), (2, "s2", 1.0, 2, 0.5), (3, "gone", 1.0, 1, 1.0)], "mix_id int, source string, target_share double, max_repeats int, size_ratio double")
+    plan = mixing.water_fill(t, mixing.source_sums(docs))
+    mix = mixing.sample_mix(docs, plan, tokens_col="tokens")
+    got = {(x["mix_id"], x["source"]): x for x in mixing.drawn_shares(plan, mix).collect()}
+    drawn = {}
+    for x in mix.collect():
+        assert x["tokens"] == sizes[x["doc_id"]]
+        drawn[x["mix_id"], x["source"]] = drawn.get((x["mix_id"], x["source"]), 0) + x["tokens"] * x["copies"]
+    assert len(got) == 5 and got[1, "gone"]["drawn"] == 0 and got[3, "gone"]["actual_share"] is None
+    for k, n in drawn.items():
+        total = sum(m for (mix_id, _), m in drawn.items() if mix_id == k[0])
+        assert got[k]["drawn"] == n and got[k]["actual_share"] == pytest.approx(n / total)
+        assert abs(n - got[k]["allocated"]) <= max(sizes.values())
+
+
+def test_shares_query(spark):
+    from lumenbib.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    shares = {(x["mix_id"], x["source"]): x for x in QUERIES["p7_shares"](spark, d).collect()}
+    mix = QUERIES["p7_mix"](spark, d).groupBy("mix_id", "source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("n")).collect()
+    assert len(mix) > 0 and {(x["mix_id"], x["source"]): x["n"] for x in mix} == {k: x["drawn"] for k, x in shares.items() if x["drawn"]}
