@@ -43,8 +43,8 @@ def top_keywords(keywords: DataFrame, links: DataFrame, k: int = 10) -> DataFram
     return n.withColumn("r", r).filter(F.col("r") <= k)
 
 
-def period_dynamics(papers: DataFrame, links: DataFrame, topic_ids: list[int], start: str, end: str, granularity: str) -> DataFrame:
-    """Counts, previous counts, growth and trend of each topic and window of start..end.
+def period_dynamics(papers: DataFrame, links: DataFrame, topic_ids: list[int] | None, start: str, end: str, granularity: str) -> DataFrame:
+    """Counts, previous counts, growth and trend of each topic (of topic_ids, or all for None) and window of start..end.
 
     A window's own count is cut to start..end; the count of the window before the first one isn't cut.
     """
@@ -53,7 +53,8 @@ def period_dynamics(papers: DataFrame, links: DataFrame, topic_ids: list[int], s
     step = F.date_sub("window_start", 7) if granularity == "week" else F.add_months("window_start", -1)
     from ..functions.dates import period_start
 
-    x = links.filter(F.col("topic_id").isin(topic_ids)).join(papers.select(F.col("id").alias("paper_id"), "publication_date").filter("publication_date is not null"), "paper_id")
+    links = links.filter("topic_id is not null" if topic_ids is None else F.col("topic_id").isin(topic_ids))
+    x = links.join(papers.select(F.col("id").alias("paper_id"), "publication_date").filter("publication_date is not null"), "paper_id")
     a, b = F.to_date(F.lit(start)), F.to_date(F.lit(end))
     n = x.groupBy("topic_id", period_start(F.col("publication_date"), granularity).alias("p")).agg(
         F.count(F.when(F.col("publication_date").between(a, b), 1)).alias("inside"), F.count(F.when(F.col("publication_date") <= b, 1)).alias("whole")

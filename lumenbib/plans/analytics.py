@@ -145,6 +145,12 @@ def cluster_period_windows(spark, d):
     return x.withColumn("growth_rate", F.round("growth_rate", 6)).withColumn("trend_score", F.round("trend_score", 6))
 
 
+@query(_DYN.replace("topic_id IN (1, 2, 17)", "topic_id IS NOT NULL") + "SELECT topic_id, period_start, period_end, paper_count, previous_paper_count, round(g, 6) AS growth_rate, round(greatest(0, least(1, 0.6 * greatest(0, least(1, (g + 1) / 2)) + 0.3 * least(1, paper_count / 100.0) + 0.05)), 6) AS trend_score FROM y")
+def cluster_period_windows_all(spark, d):
+    x = C.period_dynamics(_p(spark, d), V.paper_topics(spark, d), None, "2019-03-10", "2020-06-20", "month")
+    return x.withColumn("growth_rate", F.round("growth_rate", 6)).withColumn("trend_score", F.round("trend_score", 6))
+
+
 _DRIFT = """+ pv AS (SELECT topic_id, CAST(date_trunc('quarter', publication_date) AS DATE) AS q, CAST(date_trunc('month', publication_date) AS DATE) AS window_start, vector FROM v_vec WHERE publication_date BETWEEN DATE '2018-01-01' AND DATE '2021-12-31' AND topic_id IS NOT NULL),
 pd AS (SELECT topic_id, window_start, i, avg(vector[i]) AS m, count(*) AS n FROM pv, generate_series(1, 64) g(i) GROUP BY 1, 2, 3),
 pc AS (SELECT topic_id, window_start, list(m ORDER BY i) AS c, max(n) AS n_vectors FROM pd GROUP BY 1, 2),
