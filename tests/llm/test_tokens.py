@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lumenbib.llm import mixing, tokens
+from lumenbib.llm import tokens
 
 HARD = ["", None, "<|endoftext|> a", " " * 5000 + "x", "ab" * 3000, "don't we'll  stop\n\n\tnow", "naïve 🙂 Ελλ 第3章", "a" * 900 + " " + "b" * 900, "x\r\ny​z w", "  ", "12345 67 8.9"]
 
@@ -17,14 +17,62 @@ def texts():
 
 def test_chunked_equals_whole(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("ids", F.lit("clash")).withColumn("k", F.lit(1))
-    got = {r["doc_id"]: r["ids"] for r in tokens.encode_documents(df, chunk_chars=400, overlap_chars=60).collect()}
-    assert len(got) == len(texts)
-    for i, t in enumerate(texts):
-        assert got[i] == tokens.encode_text(t), (i, (t or "")[:40])
+    for spread_chars in (100, 1 << 20):  # pieces in tasks of their own, and where the text is read
+        got = {r["doc_id"]: r["ids"] for r in tokens.encode_documents(df, chunk_chars=400, overlap_chars=60, spread_chars=spread_chars).collect()}
+        assert len(got) == len(texts)
+        for i, t in enumerate(texts):
+            assert got[i] == (tokens.encode_piece(t) if t else []), (i, (t or "")[:40])
     whole = {r["doc_id"]: r["ids"] for r in tokens.encode_documents(df).collect()}
     assert whole == got
 
 
+SPACES = [" ", "  ", "\n", "\n\n", "\r\n", "\t", "\u00a0", " \n ", "\u2028", "\x1c", "\u3000", "    "]
+BITS = ["glacier", "don't", "'s", "'", "''", "!'re", "12", "3.5", "—", "…", "🙂", "第", "章三", "été", "Ω", "x" * 30, "\U000323b0", "\U00011de0", "\u0558", "a\u0301", "ಠ", "ก็", "-", "!!!", "ll", "'LL", "½"]
+
+
+def _random_text(r, n):
+    out, size = [], 0
+    gap = r.choice([0.2, 0.5, 0.9, 1.0])
+    while size < n:
+        out.append(r.choice(BITS) + (r.choice(SPACES) if r.random() < gap else ""))
+        size += len(out[-1])
+    return "".join(out)
+
+
+def test_ten_thousand_texts_in_small_chunks():
+    r = random.Random(11)
+    for _ in range(10_000):
+        t = _random_text(r, r.randrange(60, 700))
+        chunk = r.randrange(50, 401)
+        overlap = r.randrange(10, chunk + 1)
+        assert "".join(tokens.pieces(t, chunk, overlap)) == t
+        assert tokens.encode_text(t, chunk=chunk, overlap=overlap) == tokens.encode_piece(t), (chunk, overlap, t)
+
+
+def test_long_texts_and_both_encoders():
+    r = random.Random(12)
+    kinds = [lambda n: _random_text(r, n), lambda n: "word " * (n // 5), lambda n: "第三章のテキスト" * (n // 8), lambda n: " " * n + "x", lambda n: "a" * n, lambda n: "\n\n \t" * (n // 4), lambda n: "!?" * (n // 2), lambda n: "7" * n, lambda n: "".join(chr(r.choice([r.randrange(32, 0xD800), r.randrange(0xE000, 0x33000)])) for _ in range(n)), lambda n: "été, " * (n // 5), lambda n: "don't'll " * (n // 9), lambda n: "\r\n" * (n // 2) + "x"]
+    for k, kind in enumerate(kinds * 2):
+        t = kind(100_001 if k < len(kinds) else 120_000)
+        assert len(t) >= 99_000
+        whole = tokens._steady(tokens.DEFAULT_DIR, tokens.VOCABULARY).encode(t, add_special_tokens=False).ids
+        assert tokens._fast(tokens.DEFAULT_DIR, tokens.VOCABULARY).encode_ordinary(t) == whole, k
+        assert tokens.encode_text(t) == whole, k
+
+
+def test_ids_query_takes_the_chunks(spark, tmp_path):
+    from lumenbib.llm.queries import QUERIES
+
+    r = random.Random(13)
+    rows = [(i, _random_text(r, n)) for i, n in enumerate([100, 3_000, 9_000, 40_000])] + [(7, "x y\n\n" * 220_000), (8, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x["ids"] for x in QUERIES["p6_ids"](spark, str(tmp_path)).collect()}
+    steady = tokens._steady(tokens.DEFAULT_DIR, tokens.VOCABULARY)
+    assert got == {i: steady.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    assert all(len(tokens.stitches(t)) > 1 for i, t in rows[1:5])
+
+
 def test_length_column_only_routes(spark):
     df = spark.createDataFrame([(1, "a b", 10**6), (2, None, 10**6), (3, "c", None), (4, "", 0)], "doc_id bigint, text string, n bigint")
     got = {r["doc_id"]: r["ids"] for r in tokens.encode_documents(df, length_col="n").collect()}
@@ -32,7 +80,7 @@ def test_length_column_only_routes(spark):
 
 
 def test_long_piece_and_round_trip(spark, texts):
-    assert tokens.encode_text(" " * 200_000 + "x")[-1] == tokens.encode_text(" x")[-1]
+    assert tokens.encode_text(" " * 2_000_000 + "x")[-1] == tokens.encode_text(" x")[-1]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if t is not None], "doc_id bigint, text string")
     back = tokens.encode_documents(df, chunk_chars=400, overlap_chars=60).withColumn("back", tokens.decode_ids(F.col("ids")))
     assert back.join(df, "doc_id").filter(~F.col("back").eqNullSafe(F.col("text"))).count() == 0
@@ -41,83 +89,3 @@ def test_long_piece_and_round_trip(spark, texts):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert tokens.encode_documents(df).collect() == []
-    assert mixing.source_tokens(df.withColumn("source", F.lit("s"))).collect() == []
-
-
-def brute_fill(goal, share, cap):
-    got, open_ = {}, set(share)
-    while True:
-        left = goal - sum(got.values())
-        s = sum(share[k] for k in open_)
-        over = [k for k in open_ if s and cap[k] < left * share[k] / s - 1e-9]
-        if not over:
-            return got | {k: left * share[k] / s for k in open_}
-        for k in over:
-            got[k] = cap[k]
-            open_.discard(k)
-        if not open_:
-            return got
-
-
-def test_water_fill_against_loop(spark):
-    r = random.Random(1)
-    targets, sizes, want = [], [(f"s{i}", r.randrange(1, 1000)) for i in range(8)], {}
-    total = sum(n for _, n in sizes)
-    for mix in range(12):
-        ks = r.sample(range(8), 5)
-        w = [r.random() for _ in ks]
-        share = {f"s{k}": x / sum(w) for k, x in zip(ks, w)}
-        rep = {k: r.randrange(1, 5) for k in share}
-        ratio = r.choice([0.3, 0.8, 1.5])
-        cap = {k: dict(sizes)[k] * rep[k] for k in share}
-        targets += [(mix, k, share[k], rep[k], ratio) for k in share]
-        for k, v in brute_fill(ratio * total, share, cap).items():
-            want[mix, k] = v, cap[k] < share[k] * ratio * total
-    t = spark.createDataFrame(targets, "mix_id int, source string, target_share double, max_repeats int, size_ratio double")
-    plan = mixing.water_fill(t, spark.createDataFrame(sizes, "source string, tokens bigint"))
-    got = plan.collect()
-    assert len(got) == len(want)
-    for x in got:
-        v, short = want[x["mix_id"], x["source"]]
-        assert x["allocated"] == pytest.approx(v) and x["unreachable"] == short
-    docs = spark.createDataFrame([(i, f"s{i % 8}") for i in range(4000)] + [(9999, None)], "doc_id bigint, source string")
-    s = mixing.sample_mix(docs, plan)
-    a = s.groupBy("mix_id", "source").agg((F.sum("copies") / 500).alias("e")).join(plan, ["mix_id", "source"]).collect()
-    assert all(abs(x["e"] - x["epochs"]) < 0.12 for x in a) and s.count() == mixing.sample_mix(docs.repartition(7), plan).count()
-    assert s.join(plan.select("mix_id", "source", "max_repeats"), ["mix_id", "source"]).filter("copies > max_repeats").count() == 0
-
-
-def test_water_fill_edges(spark):
-    t = spark.createDataFrame([(1, "gone", 1.0, 2, 1.0), (2, None, 0.5, 1, 1.0), (2, "a", None, None, 1.0)], "mix_id int, source string, target_share double, max_repeats int, size_ratio double")
-    sizes = spark.createDataFrame([("a", 10), (None, 5)], "source string, tokens bigint")
-    got = {(r["mix_id"], r["source"]): r for r in mixing.water_fill(t, sizes).collect()}
-    assert got[1, "gone"]["unreachable"] and got[1, "gone"]["tokens"] == 0 and got[1, "gone"]["epochs"] is None
-    assert len(got) == 3 and mixing.water_fill(t.limit(0), sizes).count() == 0
-
-
-def test_shares_are_drawn(spark):
-    r = random.Random(2)
-    sizes = {i: int(r.paretovariate(1.3) * 10) for i in range(3000)}
-    docs = spark.createDataFrame([(i, f"s{i % 3}", n) for i, n in sizes.items()] + [(9999, None, 5)], "doc_id bigint, source string, tokens bigint")
-    t = spark.createDataFrame([(1, "s0", 0.5, 1, 0.3), (1, "s1", 0.2, 4, 0.3), (1, "gone", 0.3, 2, 0.3), (2, "s2", 1.0, 2, 0.5), (3, "gone", 1.0, 1, 1.0)], "mix_id int, source string, target_share double, max_repeats int, size_ratio double")
-    plan = mixing.water_fill(t, mixing.source_sums(docs))
-    mix = mixing.sample_mix(docs, plan, tokens_col="tokens")
-    got = {(x["mix_id"], x["source"]): x for x in mixing.drawn_shares(plan, mix).collect()}
-    drawn = {}
-    for x in mix.collect():
-        assert x["tokens"] == sizes[x["doc_id"]]
-        drawn[x["mix_id"], x["source"]] = drawn.get((x["mix_id"], x["source"]), 0) + x["tokens"] * x["copies"]
-    assert len(got) == 5 and got[1, "gone"]["drawn"] == 0 and got[3, "gone"]["actual_share"] is None
-    for k, n in drawn.items():
-        total = sum(m for (mix_id, _), m in drawn.items() if mix_id == k[0])
-        assert got[k]["drawn"] == n and got[k]["actual_share"] == pytest.approx(n / total)
-        assert abs(n - got[k]["allocated"]) <= max(sizes.values())
-
-
-def test_shares_query(spark):
-    from lumenbib.llm.queries import QUERIES
-
-    d = "/root/testdata/sf0.001"
-    shares = {(x["mix_id"], x["source"]): x for x in QUERIES["p7_shares"](spark, d).collect()}
-    mix = QUERIES["p7_mix"](spark, d).groupBy("mix_id", "source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("n")).collect()
-    assert len(mix) > 0 and {(x["mix_id"], x["source"]): x["n"] for x in mix} == {k: x["drawn"] for k, x in shares.items() if x["drawn"]}
