@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def tasks(df: DataFrame) -> int:
@@ -26,3 +27,8 @@ def spread(df: DataFrame) -> DataFrame:
 def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
     """df partitioned by keys into as many tasks as `tasks` says, which adaptive execution doesn't put together again."""
     return df.repartition(tasks(df), *keys)
+
+
+def broadcast_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it is counted to have at most `rows` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

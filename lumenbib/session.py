@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "lumenbib", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session in UTC with adaptive execution; cluster settings given from outside stay as they are."""
+def build_session(app: str = "lumenbib", master: str | None = None, shuffle_partitions: int | None = None, checkpoint_dir: str | None = None) -> SparkSession:
+    """A session in UTC with adaptive execution; cluster settings given from outside stay as they are.
+
+    checkpoint_dir: a folder that all executors share, for tables that lineage is cut at.
+    """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -19,6 +22,8 @@ def build_session(app: str = "lumenbib", master: str | None = None, shuffle_part
     )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if checkpoint_dir:
+        b = b.config("spark.checkpoint.dir", checkpoint_dir)
     return b.getOrCreate()
 
 
