@@ -3,7 +3,8 @@
 Method: capped water-filling. Every source of a mix may give at most its tokens times max_repeats. Sources that can't
 reach their share are clamped there and the weight they leave is handed to the others in proportion to their shares,
 until no further source is clamped. Ordered by capacity per unit of share, the clamped sources are a prefix, so the
-level is found with one running sum per mix instead of a loop. Whole repetitions are copied; the fractional one is
+level is found with one running sum per mix instead of a loop. Sources that can't reach their own share are those that
+the first round clamps. Whole repetitions are copied; the fractional one is
 drawn in the order of a seeded hash of the documents, as far as its share of the tokens goes.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.checkpoints import cut
-from ..operators.parallel import spread
+from ..operators.parallel import broadcast_small, spread
 from .tokens import DEFAULT_DIR, VOCABULARY, count_tokens
 
 #: Slices of a source's documents by hash, the finest that its fractional repetition is cut at.
@@ -47,7 +48,8 @@ def water_fill(targets: DataFrame, sizes: DataFrame) -> DataFrame:
     = tokens x max_repeats, unreachable (capacity < wanted), clamped (after redistribution), allocated tokens, epochs
     (allocated per token of the source, null without tokens), and planned_share of what the whole mix is to get; what
     it does get is measured by `drawn_shares`. Null numbers
-    in targets count as 0; targets is the small side, sizes has one row per source.
+    in targets count as 0; a source of share 0 is given nothing; targets is the small side, sizes has one row per source
+    and is used twice, so what is costly to compute should be kept first.
     """
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("all_tokens"))
     t = targets.select("mix_id", "source", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("target_share", "max_repeats", "size_ratio")])
@@ -55,34 +57,47 @@ def water_fill(targets: DataFrame, sizes: DataFrame) -> DataFrame:
     x = x.withColumn("tokens", F.coalesce("tokens", F.lit(0)).cast("long"))
     x = x.withColumn("wanted", F.col("target_share") * F.col("size_ratio") * F.col("all_tokens")).withColumn("capacity", F.col("tokens") * F.col("max_repeats"))
     x = x.withColumn("unreachable", F.col("capacity") < F.col("wanted"))
-    x = x.withColumn("level", F.when(F.col("target_share") > 0, F.col("capacity") / F.col("target_share")).otherwise(F.lit(float("inf"))))
+    some = F.col("target_share") > 0
+    x = x.withColumn("level", F.when(some, F.col("capacity") / F.col("target_share")).otherwise(F.lit(float("inf"))))
     mix = Window.partitionBy("mix_id")
-    up = mix.orderBy("level", "source").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("goal", F.sum("wanted").over(mix)).withColumn("shares", F.sum("target_share").over(mix))
-    x = x.withColumn("cap_below", F.coalesce(F.sum("capacity").over(up), F.lit(0.0))).withColumn("share_below", F.coalesce(F.sum("target_share").over(up), F.lit(0.0)))
+    order = mix.orderBy("level", "source")
+    up = order.rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("goal", F.sum("wanted").over(mix)).withColumn("cap_below", F.coalesce(F.sum("capacity").over(up), F.lit(0.0)))
+    # the share from this source on is a sum of positive numbers, its own among them, so nothing cancels out
+    x = x.withColumn("share_left", F.sum("target_share").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     # the level if exactly the sources before this one are clamped; this one is clamped too if it can't reach it
-    x = x.withColumn("if_level", (F.col("goal") - F.col("cap_below")) / F.nullif(F.col("shares") - F.col("share_below"), F.lit(0.0)))
-    x = x.withColumn("clamped", F.coalesce((F.col("target_share") > 0) & (F.col("level") < F.col("if_level") * (1 - 1e-12)), F.lit(False)))
+    x = x.withColumn("if_level", F.when(some, (F.col("goal") - F.col("cap_below")) / F.col("share_left")))
+    x = x.withColumn("clamped", F.coalesce(F.col("level") < F.col("if_level"), F.lit(False)))
     # beyond the first source that isn't clamped the would-be level only falls
-    x = x.withColumn("water", F.max(F.when(~F.col("clamped"), F.col("if_level"))).over(mix))
+    x = x.withColumn("water", F.max(F.when(some & ~F.col("clamped"), F.col("if_level"))).over(mix))
     x = x.withColumn("allocated", F.when(F.col("clamped"), F.col("capacity")).otherwise(F.least(F.col("capacity"), F.col("target_share") * F.coalesce("water", F.lit(0.0)))))
     x = x.withColumn("epochs", F.col("allocated") / F.nullif(F.col("tokens").cast("double"), F.lit(0.0)))
     x = x.withColumn("planned_share", F.col("allocated") / F.nullif(F.sum("allocated").over(mix), F.lit(0.0)))
     return x.select("mix_id", "source", "target_share", "max_repeats", "size_ratio", "tokens", "all_tokens", "wanted", "capacity", "unreachable", "clamped", "allocated", "epochs", "planned_share")
 
 
+def short_sources(plan: DataFrame) -> DataFrame:
+    """(mix_id, source) of a filled plan's sources that can't reach their target share.
+
+    They are among the clamped ones: of these, those that the first round clamps, whose capacity is below their own
+    share of the goal, checked exactly; the others were only overrun by what the first left to them.
+    """
+    return plan.filter("clamped").filter("unreachable").select("mix_id", "source")
+
+
 def sample_mix(documents: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 17, tokens_col: str | None = None) -> DataFrame:
     """(mix_id, id, source, copies, tokens): how often each document goes into each mix; documents of no copies give no row.
 
     copies = the whole part of the source's epochs, plus one for the documents of the lowest seeded hashes of (mix, id)
     that together come nearest to the fraction of the source's tokens (of its documents without tokens_col, each then
     counting 1), to a slice of SLICES. So the draw is the same on every run and every partitioning. The plan has a row
-    per mix and source, and SLICES times as many sums are looked at; both are broadcast or small.
+    per mix and source, and SLICES times as many sums are looked at; tables of a row per mix and source are broadcast if
+    they are counted to be small and joined otherwise.
     """
     p = plan.filter(F.col("epochs") > 0).select("mix_id", F.col("source").alias("_source"), "epochs")
     weight = F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)) if tokens_col else F.lit(1).cast("long")
     d = documents.select(F.col(id_col), F.col(source_col).alias("source"), weight.alias("tokens"))
-    x = d.join(F.broadcast(p), d["source"] == p["_source"])
+    x = d.join(broadcast_small(p), d["source"] == p["_source"])
     x = x.withColumn("slice", F.pmod(F.xxhash64(F.lit(seed), F.col("mix_id"), F.col(id_col)), F.lit(SLICES)))
     part = F.col("epochs") - F.floor("epochs")
     of = Window.partitionBy("mix_id", "source")
@@ -90,7 +105,7 @@ def sample_mix(documents: DataFrame, plan: DataFrame, id_col: str = "doc_id", so
     sums = x.groupBy("mix_id", "source", "epochs", "slice").agg(F.sum("tokens").alias("w"))
     taken = sums.withColumn("goal", part * F.sum("w").over(of)).withColumn("below", below).filter((part > 0) & (F.col("below") + F.col("w") / 2 <= F.col("goal")))
     last = taken.groupBy("mix_id", "source").agg(F.max("slice").alias("last"))
-    x = x.join(F.broadcast(last), ["mix_id", "source"], "left")
+    x = x.join(broadcast_small(last), ["mix_id", "source"], "left")
     x = x.withColumn("copies", (F.floor("epochs") + (F.col("slice") <= F.coalesce("last", F.lit(-1))).cast("int")).cast("int"))
     return x.filter(F.col("copies") > 0).select("mix_id", id_col, "source", "copies", "tokens")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checkpoints import cut
 from ..sources.parquet import table
 from . import encodings, languages, mixing, names, neighbours, survivors, tokens
 
@@ -26,14 +27,14 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    sizes = mixing.source_tokens(table(spark, d, "documents", "source", "text"))
-    return mixing.water_fill(table(spark, d, "mix_targets"), sizes).filter("unreachable").select("mix_id", "source")
+    sizes = cut(mixing.source_tokens(table(spark, d, "documents", "source", "text")))
+    return mixing.short_sources(mixing.water_fill(table(spark, d, "mix_targets"), sizes))
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The plan of the mixes and the mixes drawn by it from all documents."""
     sized = mixing.document_tokens(table(spark, d, "documents", "doc_id", "source", "text"))
-    plan = mixing.water_fill(table(spark, d, "mix_targets"), mixing.source_sums(sized))
+    plan = cut(mixing.water_fill(table(spark, d, "mix_targets"), mixing.source_sums(sized)))
     return plan, mixing.sample_mix(sized, plan, tokens_col="tokens")
 
 

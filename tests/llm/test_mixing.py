@@ -13,7 +13,7 @@ def brute_fill(goal, share, cap):
         s = sum(share[k] for k in open_)
         over = [k for k in open_ if s and cap[k] < left * share[k] / s - 1e-9]
         if not over:
-            return got | {k: left * share[k] / s for k in open_}
+            return got | {k: left * share[k] / s if s else 0.0 for k in open_}
         for k in over:
             got[k] = cap[k]
             open_.discard(k)
@@ -21,6 +21,41 @@ def brute_fill(goal, share, cap):
             return got
 
 
+def test_zero_shares_and_many_mixes(spark):
+    r = random.Random(3)
+    sizes = {f"s{i}": r.randrange(1, 1000) for i in range(9)}
+    total, targets, want = sum(sizes.values()), [], {}
+    for mix in range(400):
+        ks = r.sample(sorted(sizes), r.randrange(2, 8))
+        w = [r.choice([0, 0.0, r.random(), 10 ** -r.randrange(1, 9)]) for _ in ks]
+        w[0] = w[0] or 0.5
+        share = {k: x / sum(w) for k, x in zip(ks, w)}
+        cap = {k: sizes[k] * r.randrange(0, 5) for k in ks}
+        ratio = r.choice([0.05, 0.3, 0.8, 2.5])
+        targets += [(mix, k, share[k], cap[k] // sizes[k], ratio) for k in ks]
+        for k, v in brute_fill(ratio * total, share, cap).items():
+            want[mix, k] = v, cap[k] < share[k] * ratio * total
+    t = spark.createDataFrame(targets, "mix_id int, source string, target_share double, max_repeats int, size_ratio double")
+    plan = mixing.water_fill(t, spark.createDataFrame(list(sizes.items()), "source string, tokens bigint"))
+    got = plan.collect()
+    assert len(got) == len(want)
+    for x in got:
+        v, short = want[x["mix_id"], x["source"]]
+        assert x["allocated"] == pytest.approx(v, rel=1e-6, abs=1e-4), x
+        assert x["unreachable"] == short and (x["clamped"] or not short)
+    assert {tuple(x) for x in mixing.short_sources(plan).collect()} == {k for k, (_, s) in want.items() if s}
+
+
+def test_texts_are_tokenised_once(spark):
+    from lumenbib.llm.queries import QUERIES
+
+    spark.sparkContext.setLocalProperty("spark.job.description", None)
+    plan = QUERIES["p7_found"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and "Window" in plan  # the sizes are kept, the filling is in the plan
+    docs = spark.createDataFrame([], "source string, text string")
+    assert mixing.source_tokens(docs).collect() == []
+
+
 def test_water_fill_against_loop(spark):
     r = random.Random(1)
     targets, sizes, want = [], [(f"s{i}", r.randrange(1, 1000)) for i in range(8)], {}
