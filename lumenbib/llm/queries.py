@@ -88,6 +88,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return encodings.found(table(spark, d, "documents", "doc_id", "text"), model)
 
 
+@query
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    authors = table(spark, d, "external_authors", "author_id", "display_name", "orcid", "institution_id")
+    return names.entities(authors, table(spark, d, "external_institutions", "institution_id", "display_name", "ror", "country_code"))
+
+
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     authors = table(spark, d, "external_authors", "author_id", "display_name", "orcid", "institution_id")
