@@ -178,14 +178,14 @@ def label_language(label: Column) -> Column:
     return table[base]
 
 
-def train(samples: DataFrame, labelled: DataFrame | None = None, per_language: int = 250, rounds: int = 2) -> Model:
+def train(samples: DataFrame, labelled: DataFrame | None = None, per_language: int = 250, rounds: int = 2, sample_rows: int = 100_000) -> Model:
     """Fit on samples (lang, text), a fixed table, and on a bounded sample of labelled documents (label, text).
 
-    Of the documents, those `per_language` of each language with the smallest hashes are taken. Labels may be wrong:
+    Of the samples, the `sample_rows` with the smallest hashes are taken, of the documents `per_language` of each language. Labels may be wrong:
     only sentences where the model so far agrees with the label are learnt from, in `rounds` rounds. Rows with a null
     are left out; both tables may be empty.
     """
-    base = [(r[0], r[1]) for r in samples.dropna().orderBy(F.xxhash64(samples.columns[1])).limit(100_000).collect()]
+    base = [(r[0], r[1]) for r in samples.dropna().orderBy(F.xxhash64(samples.columns[1])).limit(sample_rows).collect()]
     model = fit(base) if base else None
     if labelled is None or model is None:
         return model
