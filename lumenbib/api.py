@@ -22,7 +22,10 @@ class NotEnoughData(LookupError):
 
 
 def topic_insights(spark: SparkSession, d: str, topic_id: int, start: str, end: str, window_months: int = 12, horizon: int = 6, max_related: int = 10) -> dict[str, DataFrame | list[str]]:
-    """Sections activity, forecast, decomposition and related of one topic; a section that fails is left out and named in errors."""
+    """Sections activity, forecast, decomposition and related of one topic; a section that fails is left out and named in errors.
+
+    Sections are a topic's worth of rows, so each is run here and kept: a failure at execution is one of its section only.
+    """
     if date.fromisoformat(start) > date.fromisoformat(end):
         raise RequestError("the start lies after the end")
     if window_months not in insights.WINDOWS or horizon not in (6, 12) or not 1 <= max_related <= 50:
@@ -32,7 +35,7 @@ def topic_insights(spark: SparkSession, d: str, topic_id: int, start: str, end:
 
     def section(name: str, make: Callable[[], DataFrame]) -> None:
         try:
-            out[name] = make()
+            out[name] = spark.createDataFrame(x.collect(), x.schema) if (x := make()) is not None else None
         except Exception as e:  # noqa: BLE001 - one failing section must not fail the request
             errors.append(f"{name}: {type(e).__name__}")
 

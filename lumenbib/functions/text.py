@@ -6,7 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that open or close no candidate phrase (fixed values).
-STOPWORDS = "a an and are as at be but by for from has have how in into is it its of on or such than that the their then there these they this to was we were which while who will with".split()
+STOPWORDS = (
+    "a about above after again against ain all am an and any are aren as at be because been before being below between both but by can couldn d did didn do "
+    "does doesn doing don down during each few for from further had hadn has hasn have haven having he her here hers herself him himself his how i if in "
+    "into is isn it its itself just ll m ma me mightn more most mustn my myself needn no nor not now o of off on once only or other our ours ourselves out "
+    "over own re s same shan she should shouldn so some such t than that the their theirs them themselves then there these they this those through to too "
+    "under until up ve very was wasn we were weren what when where which while who whom why will with won wouldn y you your yours yourself yourselves "
+).split()
 TOKEN = r"[a-z0-9]+(?:-[a-z0-9]+)*"
 
 

@@ -26,6 +26,7 @@ PRIORITY = {
 }
 LABELS = {"sarimax": "SARIMAX", "ets": "ETS"}
 SCHEMA = "period_start date, forecast double, lower double, upper double, model_name string, mae double, mape double, smape double"
+QUALITY = "quality array<struct<family:string,mae:double,mape:double,smape:double,selected:boolean>>"
 
 
 @dataclass(frozen=True)
@@ -40,11 +41,13 @@ class Candidate:
 
     @property
     def name(self) -> str:
-        extra = [self.transform] if self.transform != "none" else []
+        """The name as results show it (a fixed format)."""
+        how = f"+{self.transform}" if self.transform != "none" else ""
         if self.family == "sarimax":
-            extra += [f"{self.order}x{self.season_order}", *(["exog"] if self.exog else [])]
-        extra += [w for w, on in (("seasonal", self.seasonal), ("damped", self.damped)) if on]
-        return self.family + (f"[{', '.join(extra)}]" if extra else "")
+            return f"SARIMAX{self.order}{(*self.season_order, SEASON)}{how}{'+exog(q2,q4)' if self.exog else ''}"
+        if self.family == "ets":
+            return f"ETS{'+seasonal' if self.seasonal else ''}{'+damped' if self.damped else ''}{how}"
+        return self.family
 
 
 @dataclass
@@ -333,21 +336,55 @@ def forecast_series(months: pd.Series, values: pd.Series, horizon: int, kind: st
         mean, low, high = (bounded(x, kind) for x in sarimax(s, horizon, c))
     else:
         mean = predict(s, horizon, c, kind)
-        spread = Z95 * chosen.residual_std * np.sqrt(1 + np.arange(1, horizon + 1) / SEASON)
+        spread = Z95 * chosen.residual_std * np.sqrt(1 + np.arange(horizon) / SEASON)
         low, high = bounded(mean - spread, kind), bounded(mean + spread, kind)
     at = pd.date_range(s.index[-1], periods=horizon + 1, freq="MS")[1:]
     rows = pd.DataFrame({"period_start": at.date, "forecast": mean, "lower": low, "upper": high})
     return rows.assign(model_name=c.name, mae=chosen.mae, mape=chosen.mape, smape=chosen.smape)[columns], quality(scores, kind, chosen)
 
 
-def forecast(df: DataFrame, key: str, month: str, value: str, horizon: int, kind: str) -> DataFrame:
-    """Forecast rows of every series of df: key and SCHEMA. Rows with a null month or value are left out; a null key is a series."""
+def _kind(kind: str) -> str:
     if kind not in PRIORITY:
         raise ValueError(f"kind must be count or share: {kind}")
+    return kind
+
+
+def forecast(df: DataFrame, key: str, month: str, value: str, horizon: int, kind: str) -> DataFrame:
+    """Forecast rows of every series of df: key, SCHEMA and QUALITY, the scores of the three best model families and the chosen one.
+
+    Rows with a null month or value are left out; a null key is a series.
+    """
+    _kind(kind)
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        rows, _ = forecast_series(g[month], g[value], horizon, kind)
+        rows, scores = forecast_series(g[month], g[value], horizon, kind)
         rows.insert(0, key, g[key].iloc[0])
-        return rows.astype({"mae": float, "mape": float, "smape": float})
+        return rows.astype({"mae": float, "mape": float, "smape": float}).assign(quality=pd.Series([scores] * len(rows), index=rows.index, dtype=object))
+
+    return spread_groups(df.select(key, month, value), key).groupBy(key).applyInPandas(one, f"{key} {df.schema[key].dataType.simpleString()}, {SCHEMA}, {QUALITY}")
+
+
+def forecast_with(df: DataFrame, key: str, month: str, value: str, horizon: int, kind: str, family: str) -> DataFrame:
+    """(key, period_start, forecast) of every series by one model family, without a choice; families that can't be fitted on a series give it no rows."""
+    c = Candidate(family, {"linear_trend": {"count": "log1p", "share": "logit"}[_kind(kind)]}.get(family, "none"))
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        s = prepare(g[month], g[value], kind)
+        if horizon <= 0 or not can_fit(c, len(s)) or not len(s):
+            return pd.DataFrame({key: [], "period_start": [], "forecast": []})
+        at = pd.date_range(s.index[-1], periods=horizon + 1, freq="MS")[1:]
+        return pd.DataFrame({key: g[key].iloc[0], "period_start": at.date, "forecast": predict(s, horizon, c, kind)})
+
+    return spread_groups(df.select(key, month, value), key).groupBy(key).applyInPandas(one, f"{key} {df.schema[key].dataType.simpleString()}, period_start date, forecast double")
+
+
+def backtest_with(df: DataFrame, key: str, month: str, value: str, last: int, kind: str, family: str) -> DataFrame:
+    """(key, mae, mape, smape) of every series: the errors of one model family on its last months, fitted on those before."""
+    c = Candidate(family)
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        s = prepare(g[month], g[value], kind)
+        score = backtest(s, c, [(len(s) - last, len(s))], kind) if len(s) > last else None
+        return pd.DataFrame([(g[key].iloc[0], score.mae, score.mape, score.smape)] if score else [], columns=[key, "mae", "mape", "smape"])
 
-    return spread_groups(df.select(key, month, value), key).groupBy(key).applyInPandas(one, f"{key} {df.schema[key].dataType.simpleString()}, {SCHEMA}")
+    return spread_groups(df.select(key, month, value), key).groupBy(key).applyInPandas(one, f"{key} {df.schema[key].dataType.simpleString()}, mae double, mape double, smape double")

@@ -15,10 +15,20 @@ topics array<struct<id: string, display_name: string, score: double, domain: str
 keywords array<struct<display_name: string, score: double>>, locations array<struct<landing_page_url: string, pdf_url: string, license: string, version: string>>, primary_location struct<landing_page_url: string, pdf_url: string, license: string, version: string>"""
 
 
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """df with i: the place of each row from 0 by a unique key. Rows are range partitioned and counted by partition, then
+    numbered within; no task sees all of them."""
+    x = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, key).withColumn("_p", F.spark_partition_id())
+    x = x.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
+    n = x.groupBy("_p").agg(F.count("*").alias("_n"))  # a row a partition
+    before = n.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).alias("_b"))
+    return x.join(F.broadcast(before), "_p").withColumn("i", F.col("_r") + F.coalesce("_b", F.lit(0))).drop("_p", "_r", "_b")
+
+
 def plan_units(topics: DataFrame, periods: DataFrame, total: int, per_page: int, seed: int) -> DataFrame:
     """(topic_id, period_start, quota, pages, unit_seed): total records split evenly over topics and periods, what is left to the first ones.
 
-    periods is a bounded calendar; topics of any number: units are numbered without a global sort by topic id and period.
+    periods is a bounded calendar; topics of any number: units are numbered by topic id and period without a sort in one task.
     """
     t = topics.select(F.col("id").alias("topic_id"))
     n = t.count() * periods.count()
@@ -27,7 +37,7 @@ def plan_units(topics: DataFrame, periods: DataFrame, total: int, per_page: int,
     place = F.row_number().over(Window.orderBy("period_start"))
     months = periods.select("period_start").distinct().select("period_start", place.alias("k"))  # a bounded calendar
     per_topic = months.count()
-    x = t.withColumn("i", F.row_number().over(Window.orderBy("topic_id")) - 1).crossJoin(F.broadcast(months))  # the taxonomy is of fixed size
+    x = numbered(t, "topic_id").crossJoin(F.broadcast(months))
     at = F.col("i") * per_topic + F.col("k") - 1
     quota = F.least(F.floor(F.lit(total) / n).cast("bigint") + F.when(at < total % n, 1).otherwise(0), F.lit(UNIT_CAP))
     return x.select("topic_id", "period_start", quota.alias("quota"), F.ceil(quota / per_page).alias("pages"), (F.lit(seed) + at).cast("bigint").alias("unit_seed")).filter("quota > 0")
@@ -39,6 +49,13 @@ def plan_pages(units: DataFrame, per_page: int) -> DataFrame:
     return x.select("topic_id", "period_start", "page", F.least(F.lit(per_page).cast("bigint"), F.col("quota") - (F.col("page") - 1) * per_page).alias("wanted"))
 
 
+def indexing_status(now: DataFrame, stored: DataFrame, id_col: str) -> DataFrame:
+    """now, stored (id, hash) -> (id, status): new without a stored hash row, unchanged if both hashes are equal (nulls are), else changed."""
+    old = stored.select(id_col, F.col("hash").alias("_old"), F.lit(True).alias("_has"))
+    x = now.select(id_col, "hash").join(old, id_col, "left")
+    return x.select(id_col, F.when(F.col("_has").isNull(), "new").when(F.col("hash").eqNullSafe(F.col("_old")), "unchanged").otherwise("changed").alias("status"))
+
+
 def unit_report(units: DataFrame, pages: DataFrame) -> DataFrame:
     """Loaded, missing and exhausted records of each unit; pages (topic_id, period_start, loaded, last) as downloaded."""
     g = pages.groupBy("topic_id", "period_start").agg(F.sum("loaded").alias("loaded"), F.max("last").alias("last"))

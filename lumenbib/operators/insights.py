@@ -71,10 +71,12 @@ def shared_keyphrases(keywords: DataFrame, links: DataFrame, papers: DataFrame,
     mine = x.filter(F.col("topic_id") == topic_id).select("paper_id").join(keywords, "paper_id").select("keyword").distinct()
     hits = keywords.join(mine, "keyword", "left_semi").join(x.filter(F.col("topic_id") != topic_id), "paper_id")
     papers_of = hits.select("topic_id", "paper_id", "cited").distinct().groupBy("topic_id").agg(F.count("*").alias("shared_papers"), F.sum("cited").cast("bigint").alias("citations"))
-    words_of = hits.groupBy("topic_id").agg(F.array_sort(F.collect_set("keyword")).alias("words"))
-    y = papers_of.join(words_of, "topic_id").join(topics.select(F.col("id").alias("topic_id"), "name"), "topic_id")
-    n = F.size("words").cast("bigint")
-    y = y.select("topic_id", "name", n.alias("shared_keyphrases"), "shared_papers", "citations", F.array_join(F.slice("words", 1, 8), "|").alias("keyphrases"), F.least(F.lit(1.0), n / 10).alias("similarity"))
+    words = hits.select("topic_id", "keyword").distinct()
+    r = F.row_number().over(Window.partitionBy("topic_id").orderBy("keyword"))
+    eight = words.withColumn("r", r).filter("r <= 8").groupBy("topic_id").agg(F.array_join(F.array_sort(F.collect_list("keyword")), "|").alias("keyphrases"))
+    n = words.groupBy("topic_id").agg(F.count("*").alias("shared_keyphrases"))
+    y = papers_of.join(n, "topic_id").join(eight, "topic_id").join(topics.select(F.col("id").alias("topic_id"), "name"), "topic_id")
+    y = y.select("topic_id", "name", "shared_keyphrases", "shared_papers", "citations", "keyphrases", F.least(F.lit(1.0), F.col("shared_keyphrases") / 10).alias("similarity"))
     return y.orderBy(F.desc("shared_keyphrases"), F.desc("shared_papers"), "name", "topic_id").limit(limit)
 
 

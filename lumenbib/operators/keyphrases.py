@@ -16,18 +16,48 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, TOKEN
 from .parallel import spread
 
 STOP = set(STOPWORDS)
-#: Word endings that speak for a noun or an adjective where no tagger is there (fixed values).
-NOUN_ENDINGS = tuple("tion sion ment ness ity ism ance ence ship ology graphy metry sis er or ing al ic ous ive".split())
-#: Weights of the ranker (a parameter): reciprocal ranks, agreement, frequency, position, length, nouns, competition.
-WEIGHTS = {"yake_rr": 0.25, "single_rr": 0.15, "mean_rr": 0.10, "often": 0.45, "first": 0.15, "words": 0.05, "noun": 0.05, "inside": -0.05, "semantic": 0.0}
+#: Word endings of adjectives; other words with a letter count as nouns where no tagger is there (fixed values).
+ADJECTIVE_ENDINGS = ("al", "ic", "ive", "ous", "able", "ible", "ary", "less")
+#: Phrases scored by each scorer, rank kept in either, kept by mean reciprocal rank, least kept, rank of the
+#: unranked, most candidates that are compared pair by pair.
+BEST, RANK_KEPT, AGREED_KEPT, LEAST_KEPT, UNRANKED, MOST_COMPARED = 100, 150, 250, 50, 999, 2500
+#: Names of the features that a ranker is given (fixed values).
+FEATURES = [
+    "contains_hyphen",
+    "ends_with_noun",
+    "pke_yake_w8_rrank_doc_z",
+    "pke_singlerank_w4_rrank_doc_z",
+    "pke_rrank_max",
+    "pke_rrank_mean",
+    "pke_rrank_range",
+    "pke_top5_count",
+    "pke_top10_count",
+    "pke_rrank_delta_yake_singlerank",
+    "pke_yake_beats_singlerank",
+    "pke_singlerank_beats_yake",
+    "embedrank_best_sentence_cosine",
+    "candidate_substring_of_other",
+    "candidate_contains_other",
+    "candidate_token_overlap_max",
+]
+#: Weights of the linear ranker (a parameter), in place of trained ones; `frequency` and `early` are features of its own.
+WEIGHTS = {
+    "frequency": 0.45, "early": 0.15, "ends_with_noun": 0.05, "pke_rrank_mean": 0.35, "pke_yake_w8_rrank_doc_z": 0.02, "pke_singlerank_w4_rrank_doc_z": 0.02,
+    "pke_top10_count": 0.02, "embedrank_best_sentence_cosine": 0.0, "candidate_substring_of_other": -0.05, "candidate_contains_other": 0.02,
+}
 SCHEMA = "keyphrase string, score double, rank int, first_pos int"
 
 
+def is_noun(word: str) -> bool:
+    return any(c.isalpha() for c in word) and not word.endswith(ADJECTIVE_ENDINGS)
+
+
 def words_of(text: str) -> list[list[str]]:
     """Sentences of a text as lists of word tokens."""
     out = [re.findall(r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*", s) for s in re.split(r"(?<=[.!?])\s+|\n+", text)]
@@ -69,7 +99,7 @@ def candidates(sents: list[list[str]], longest: int = 3) -> dict[str, list[int]]
     return out
 
 
-def yake(sents: list[list[str]], phrases: dict[str, list[int]], window: int = 2) -> dict[str, float]:
+def yake(sents: list[list[str]], phrases: dict[str, list[int]], window: int = 8) -> dict[str, float]:
     """Lower is better: the product of the words' scores over one plus their sum, times the phrase's frequency."""
     tf, upper, places = Counter(), Counter(), defaultdict(list)
     left, right = defaultdict(Counter), defaultdict(Counter)
@@ -100,11 +130,11 @@ def yake(sents: list[list[str]], phrases: dict[str, list[int]], window: int = 2)
 
 
 def single_rank(sents: list[list[str]], phrases: dict[str, list[int]], window: int = 4, damping: float = 0.85) -> dict[str, float]:
-    """Higher is better: the sum of the phrase's words in a weighted PageRank of words near each other."""
+    """Higher is better: the sum of the phrase's words in a weighted PageRank of nouns and adjectives near each other."""
     ids: dict[str, int] = {}
     edges = Counter()
     flat = [w.lower() for s in sents for w in s]
-    keep = [(i, w) for i, w in enumerate(flat) if w not in STOP and len(w) > 2]
+    keep = [(i, w) for i, w in enumerate(flat) if w not in STOP and len(w) > 2 and any(c.isalpha() for c in w)]
     for a, (i, w) in enumerate(keep):
         u = ids.setdefault(w, len(ids))
         for j, x in keep[a + 1 : a + window]:
@@ -131,25 +161,85 @@ def single_rank(sents: list[list[str]], phrases: dict[str, list[int]], window: i
 
 
 def filter_similar(ranked: list[tuple[str, float]], overlap: float = 0.67, jaccard: float = 0.50, gap: float = 0.005) -> list[tuple[str, float]]:
-    """Greedy from the best: a term goes if one kept has the same tokens, or shares enough of them and scores clearly more."""
+    """Greedy from the best: a term goes if one kept has the same tokens, or holds enough of them, by the smaller of both and by their union, and scores clearly more."""
     kept: list[tuple[str, float, frozenset[str]]] = []
     scale = max((abs(s) for _, s in ranked), default=1.0) or 1.0
     for term, score in ranked:
         t = frozenset(stem(w) for w in term.split())
-        drop = False
-        for _, other, u in kept:
+
+        def covers(u: frozenset[str], other: float) -> bool:
             both = len(t & u)
-            alike = both / min(len(t), len(u)) >= overlap - 0.005 or both / len(t | u) >= jaccard - 0.005
-            if t == u or alike and (other - score) / scale >= gap:
-                drop = True
-                break
-        if not drop:
+            return t == u or both > 0 and both / min(len(t), len(u)) >= overlap - 0.005 and both / len(t | u) >= jaccard - 0.005 and (other - score) / scale >= gap
+
+        if not any(covers(u, other) for _, other, u in kept):
             kept.append((term, score, t))
     return [(w, s) for w, s, _ in kept]
 
 
-def extract(text: str | None, top_k: int = 10, weights: dict[str, float] | None = None, embed: Callable[[list[str]], np.ndarray] | None = None) -> list[tuple[str, float, int, int]]:
-    """(keyphrase, score, rank from 1, place of the first word) of one text; none for null and empty texts."""
+def baseline(ry: dict[str, int], rs: dict[str, int], phrases: list[str]) -> list[str]:
+    """Phrases worth ranking, in their order: well ranked by either scorer, or among the best by mean reciprocal rank; if these are few, the next by the better one."""
+    rr = lambda r, p: 1 / r[p] if p in r else 0.0
+    keep = {p for p in phrases if ry.get(p, UNRANKED) <= RANK_KEPT or rs.get(p, UNRANKED) <= RANK_KEPT}
+    keep |= set(sorted(phrases, key=lambda p: -(rr(ry, p) + rr(rs, p)))[:AGREED_KEPT])
+    rest = sorted((p for p in phrases if p not in keep), key=lambda p: -max(rr(ry, p), rr(rs, p)))
+    keep |= set(rest[: max(0, min(LEAST_KEPT, len(phrases)) - len(keep))])
+    return [p for p in phrases if p in keep]
+
+
+def zscores(x: list[float]) -> list[float]:
+    """Deviations from the mean in population standard deviations; 0 if there is none."""
+    std = float(np.std(x)) if x else 0.0
+    return [(v - float(np.mean(x))) / std if std > 0 else 0.0 for v in x]
+
+
+def competition(phrases: list[str]) -> list[tuple[float, float, float]]:
+    """(is in a longer other one, holds a shorter other one, greatest Jaccard of tokens with another) of each phrase; zeros beyond MOST_COMPARED."""
+    if len(phrases) > MOST_COMPARED:
+        return [(0.0, 0.0, 0.0)] * len(phrases)
+    tokens = [frozenset(p.split()) for p in phrases]
+    size = [len(p.split()) for p in phrases]
+    having: dict[str, list[int]] = defaultdict(list)
+    for i, t in enumerate(tokens):
+        for w in t:
+            having[w].append(i)
+    out = []
+    for i, p in enumerate(phrases):
+        near = {j for w in tokens[i] for j in having[w]} - {i}
+        within = any(size[j] > size[i] and p in q for j, q in enumerate(phrases))
+        holds = any(size[j] < size[i] and q in p for j, q in enumerate(phrases))
+        out.append((float(within), float(holds), max((len(tokens[i] & tokens[j]) / len(tokens[i] | tokens[j]) for j in near), default=0.0)))
+    return out
+
+
+def features(sents: list[list[str]], phrases: dict[str, list[int]], embed: Callable[[list[str]], np.ndarray] | None = None) -> dict[str, dict[str, float]]:
+    """FEATURES, and frequency and early, of the phrases that pass `baseline`."""
+    y, s = yake(sents, phrases), single_rank(sents, phrases)
+    rank = lambda scores, sign: {p: i for i, p in enumerate(sorted(scores, key=lambda p: (sign * scores[p], p))[:BEST], 1)}
+    ry, rs = rank(y, 1), rank(s, -1)
+    keep = baseline(ry, rs, list(phrases))
+    a, b = [1 / ry[p] if p in ry else 0.0 for p in keep], [1 / rs[p] if p in rs else 0.0 for p in keep]
+    cosine = [0.0] * len(keep)
+    if embed is not None and keep:
+        cosine = (embed(keep) @ embed([" ".join(x) for x in sents[:64]]).T).max(1).tolist()
+    total, most = sum(map(len, sents)), max(map(len, phrases.values()))
+    rows = {}
+    for p, u, v, zu, zv, c, (within, holds, overlap) in zip(keep, a, b, zscores(a), zscores(b), cosine, competition(keep)):
+        ranks = ry.get(p, UNRANKED), rs.get(p, UNRANKED)
+        rows[p] = {
+            "contains_hyphen": float("-" in p), "ends_with_noun": float(is_noun(p.split()[-1])), "pke_yake_w8_rrank_doc_z": zu, "pke_singlerank_w4_rrank_doc_z": zv,
+            "pke_rrank_max": max(u, v), "pke_rrank_mean": (u + v) / 2, "pke_rrank_range": abs(u - v), "pke_top5_count": float(sum(r <= 5 for r in ranks)), "pke_top10_count": float(sum(r <= 10 for r in ranks)),
+            "pke_rrank_delta_yake_singlerank": u - v, "pke_yake_beats_singlerank": float(u > v), "pke_singlerank_beats_yake": float(v > u), "embedrank_best_sentence_cosine": c,
+            "candidate_substring_of_other": within, "candidate_contains_other": holds, "candidate_token_overlap_max": overlap,
+            "frequency": math.log(len(phrases[p])) / math.log(most) if most > 1 else 0.0, "early": 1 - min(phrases[p]) / max(1, total),
+        }
+    return rows
+
+
+def extract(text: str | None, top_k: int = 10, weights: dict[str, float] | None = None, embed: Callable[[list[str]], np.ndarray] | None = None, ranker: Callable[[np.ndarray], np.ndarray] | None = None) -> list[tuple[str, float, int, int]]:
+    """(keyphrase, score, rank from 1, place of the first word) of one text; none for null and empty texts.
+
+    ranker takes a matrix of FEATURES, a row a phrase, and gives scores; without one the weights are a linear ranker.
+    """
     if not text:
         return []
     w = WEIGHTS | (weights or {})
@@ -163,37 +253,43 @@ def extract(text: str | None, top_k: int = 10, weights: dict[str, float] | None
             phrases.setdefault(first, []).extend(at)
     if not phrases:
         return []
-    y, s = yake(sents, phrases), single_rank(sents, phrases)
-    rank = lambda scores, sign: {p: i for i, p in enumerate(sorted(scores, key=lambda p: (sign * scores[p], p)), 1)}
-    ry, rs = rank(y, 1), rank(s, -1)
-    keep = [p for p in phrases if ry[p] <= 150 or rs[p] <= 150]
-    total, most = sum(map(len, sents)), max(map(len, phrases.values()))
-    semantic = dict.fromkeys(keep, 0.0)
-    if embed is not None and w["semantic"]:
-        a, b = embed(keep), embed([" ".join(x) for x in sents[:64]])
-        semantic = dict(zip(keep, (a @ b.T).max(1)))
-    scored = []
-    for p in keep:
-        tokens = p.split()
-        f = {
-            "yake_rr": 1 / ry[p], "single_rr": 1 / rs[p], "mean_rr": (1 / ry[p] + 1 / rs[p]) / 2, "first": 1 - min(phrases[p]) / max(1, total),
-            "often": math.log(len(phrases[p])) / math.log(most) if most > 1 else 0.0,
-            "words": min(len(tokens), 3) / 3, "noun": float(tokens[-1].endswith(NOUN_ENDINGS)), "inside": float(any(p != q and f" {p} " in f" {q} " for q in keep)) if len(keep) <= 2500 else 0.0,
-            "semantic": semantic[p],
-        }
-        scored.append((sum(w[k] * v for k, v in f.items()), p))
-    mean, std = float(np.mean([x for x, _ in scored])), float(np.std([x for x, _ in scored]))
-    z = sorted((((x - mean) / std if std else 0.0), p) for x, p in scored)
-    ranked = sorted(((p, x) for x, p in z), key=lambda t: (-t[1], min(phrases[t[0]]), t[0]))
+    rows = features(sents, phrases, embed)
+    keep = list(rows)
+    scores = ranker(np.array([[rows[p][f] for f in FEATURES] for p in keep])).tolist() if ranker else [sum(v * rows[p][k] for k, v in w.items()) for p in keep]
+    ranked = sorted(zip(keep, zscores(scores)), key=lambda t: (-t[1], min(phrases[t[0]]), t[0]))
     return [(p, round(x, 6), i, min(phrases[p])) for i, (p, x) in enumerate(filter_similar(ranked)[: top_k if top_k >= 0 else None], 1)]
 
 
-def extract_documents(df: DataFrame, id_col: str, text_col: str, top_k: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
-    """(id, keyphrase, score, rank, first_pos) of every text; null and empty texts give no row; no shuffle."""
+def extract_documents(df: DataFrame, id_col: str, text_col: str, top_k: int = 10, weights: dict[str, float] | None = None, min_score: float | None = None) -> DataFrame:
+    """(id, keyphrase, score, rank, first_pos) of every text, of scores of at least min_score; null and empty texts give no row; no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *x) for i, t in zip(b[id_col], b[text_col]) for x in extract(t, top_k, weights)]
+            rows = [(i, *x) for i, t in zip(b[id_col], b[text_col]) for x in extract(t, top_k, weights) if min_score is None or x[1] >= min_score]
             yield pd.DataFrame(rows, columns=[id_col, "keyphrase", "score", "rank", "first_pos"])
 
     return spread(df.select(id_col, text_col)).mapInPandas(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, {SCHEMA}")
+
+
+def doc_zscores(df: DataFrame, doc: str, value: str) -> DataFrame:
+    """df with z: the value's deviation from its document's mean in population standard deviations, 0 if there is none; null for a null value."""
+    g = df.groupBy(doc).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    x = df.join(g, doc)
+    return x.withColumn("z", F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(F.when(F.col(value).isNotNull(), 0.0))).drop("_m", "_s")
+
+
+def candidate_overlap(df: DataFrame, doc: str, terms: str) -> DataFrame:
+    """df (doc, terms: array of phrases) -> (doc, term, within, holds, overlap) as `competition` has it, in column expressions.
+
+    A document's terms are one array already, so that the comparison needs no join; null and repeated terms are left out.
+    """
+    t = F.array_distinct(F.array_compact(F.col(terms)))
+    words = lambda x: F.array_distinct(F.split(x, " "))
+    size = lambda x: F.size(F.split(x, " "))
+    x = df.select(doc, t.alias("_t")).select(doc, "_t", F.explode("_t").alias("term"))
+    others = F.filter("_t", lambda o: o != F.col("term"))
+    jaccard = F.transform(others, lambda o: F.size(F.array_intersect(words(o), words(F.col("term")))) / F.size(F.array_union(words(o), words(F.col("term")))))
+    few = F.size("_t") <= MOST_COMPARED
+    within = F.exists(others, lambda o: (size(o) > size(F.col("term"))) & o.contains(F.col("term")))
+    holds = F.exists(others, lambda o: (size(o) < size(F.col("term"))) & F.col("term").contains(o))
+    return x.select(doc, "term", (few & within).alias("within"), (few & holds).alias("holds"), F.when(few, F.coalesce(F.array_max(jaccard), F.lit(0.0))).otherwise(0.0).alias("overlap"))

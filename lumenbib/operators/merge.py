@@ -78,12 +78,19 @@ def primary_topics(links: DataFrame, explicit: DataFrame | None = None) -> DataF
 def prepare_import(records: DataFrame, key: str, seq: str) -> tuple[DataFrame, DataFrame]:
     """(records to import, counters): records without title or abstract and repeats of a key, the first one aside, are skipped."""
     blank = lambda c: F.coalesce(F.length(F.trim(c)) == 0, F.lit(True))
-    r = F.row_number().over(Window.partitionBy(key).orderBy(seq))
     why = F.when(blank(F.col("title")), "no_title").when(blank(F.col("abstract")), "no_abstract")
     x = records.withColumn("_why", why)
-    ok = x.filter("_why is null").withColumn("_why", F.when(F.col(key).isNotNull() & (r > 1), "duplicate").otherwise("loaded"))
-    counters = x.filter("_why is not null").select("_why").unionByName(ok.select("_why")).groupBy(F.col("_why").alias("outcome")).agg(F.count("*").alias("n"))
-    return ok.filter("_why = 'loaded'").drop("_why"), counters
+    ok = x.filter("_why is null").drop("_why")
+    # the first record of each key by aggregation; records without a key are no repeats and are never grouped
+    rest = [c for c in ok.columns if c != key]
+    first = ok.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(seq)).alias("_r"), F.count("*").alias("_n"))
+    loaded = first.select(*[F.col(key) if c == key else F.col("_r").getField(c).alias(c) for c in ok.columns]).unionByName(ok.filter(F.col(key).isNull()))
+    parts = x.filter("_why is not null").groupBy("_why").agg(F.count("*").alias("n")).select(F.col("_why").alias("outcome"), "n")
+    sums = first.agg(F.count("*").alias("l"), F.sum(F.col("_n") - 1).alias("d"))
+    loose = ok.filter(F.col(key).isNull()).agg(F.count("*").alias("l"), F.lit(0).cast("bigint").alias("d"))
+    both = sums.unionByName(loose).agg(F.sum("l").alias("loaded"), F.sum("d").alias("duplicate"))
+    counted = both.select(F.explode(F.array(F.struct(F.lit("loaded").alias("outcome"), F.col("loaded").alias("n")), F.struct(F.lit("duplicate").alias("outcome"), F.col("duplicate").alias("n")))).alias("c")).select("c.*")
+    return loaded, parts.unionByName(counted.filter("n > 0"))
 
 
 def best_landing(target: DataFrame, source: DataFrame, strict: bool = False) -> DataFrame:

@@ -28,9 +28,10 @@ def duplicate_keys(df: DataFrame, key: Column, id_col: str) -> DataFrame:
 
 def safe_fix(df: DataFrame, column: str, fixed: Column, id_col: str) -> DataFrame:
     """(id, old, new) of values that a rule changes, where the new value is no blank and no other row has it or would get it."""
-    x = df.select(F.col(id_col).alias("id"), F.col(column).alias("old"), fixed.alias("new"))
-    n = F.count("*").over(Window.partitionBy("new"))
-    return x.filter("new is not null").withColumn("n", n).filter((F.col("n") == 1) & ~F.col("old").eqNullSafe(F.col("new")) & ~text.is_blank(F.col("new"))).select("id", "old", "new")
+    x = df.select(F.col(id_col).alias("id"), F.col(column).alias("old"), fixed.alias("new")).filter("new is not null")
+    # a value of many rows is one partial aggregate, and only single ones go on
+    one = x.groupBy("new").agg(F.count("*").alias("n"), F.min(F.struct("id", "old")).alias("r")).filter("n = 1").select("r.id", "r.old", "new")
+    return one.filter(~F.col("old").eqNullSafe(F.col("new")) & ~text.is_blank(F.col("new")))
 
 
 def coverage(expected_topics: DataFrame, periods: DataFrame, existing: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import forecasting as T
@@ -32,33 +32,45 @@ def _series(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_S + "SELECT topic_id, CAST(m + INTERVAL 12 MONTH AS DATE) AS period_start, CAST(n AS DOUBLE) AS forecast FROM s WHERE m >= DATE '2020-01-01'")
 def forecast_seasonal_naive(spark, d):
-    """Twelve months by last year's values: a shift of the last twelve rows, no window."""
-    s = _series(spark, d).filter("period_start >= date'2020-01-01'")
-    return s.select("topic_id", F.add_months("period_start", 12).alias("period_start"), F.col("topic_count").cast("double").alias("forecast"))
+    return T.forecast_with(_series(spark, d), "topic_id", "period_start", "topic_count", 12, "count", "seasonal_naive")
 
 
 @query(_S + "SELECT topic_id, round(avg(n), 6) AS forecast FROM s WHERE m >= DATE '2020-07-01' GROUP BY 1")
 def forecast_rolling_mean(spark, d):
-    s = _series(spark, d).filter("period_start >= date'2020-07-01'")
-    return s.groupBy("topic_id").agg(F.round(F.avg("topic_count"), 6).alias("forecast"))
+    x = T.forecast_with(_series(spark, d), "topic_id", "period_start", "topic_count", 1, "count", "rolling_mean")
+    return x.select("topic_id", F.round("forecast", 6).alias("forecast"))
 
 
 @query(_S + ", r AS (SELECT topic_id, regr_slope(ln(1 + n), i) AS b, regr_intercept(ln(1 + n), i) AS a FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY m) - 1 AS i FROM s WHERE m >= DATE '2020-01-01') GROUP BY 1) SELECT topic_id, CAST(DATE '2020-12-01' + CAST(h AS INT) * INTERVAL 1 MONTH AS DATE) AS period_start, round(greatest(0, exp(a + 0.45 * greatest(-0.08, least(0.08, b)) * (11 + h)) - 1), 5) AS forecast FROM r CROSS JOIN generate_series(1, 6) g(h)")
 def forecast_linear_trend(spark, d):
-    s = _series(spark, d).filter("period_start >= date'2020-01-01'")
-    i = F.months_between("period_start", F.lit("2020-01-01").cast("date"))
-    r = s.groupBy("topic_id").agg(F.regr_slope(F.log1p("topic_count"), i).alias("b"), F.regr_intercept(F.log1p("topic_count"), i).alias("a"))
-    x = r.select("topic_id", "a", "b", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("h"))
-    y = F.expm1(F.col("a") + 0.45 * F.greatest(F.lit(-0.08), F.least(F.lit(0.08), F.col("b"))) * (F.col("h") + 11))
-    return x.select("topic_id", F.add_months(F.lit("2020-12-01").cast("date"), F.col("h")).alias("period_start"), F.round(F.greatest(F.lit(0.0), y), 5).alias("forecast"))
+    x = T.forecast_with(_series(spark, d), "topic_id", "period_start", "topic_count", 6, "count", "linear_trend")
+    return x.withColumn("forecast", F.round("forecast", 5))
 
 
 @query(_S + ", p AS (SELECT topic_id, m, n AS a, lag(n, 12) OVER (PARTITION BY topic_id ORDER BY m) AS g FROM s) SELECT topic_id, round(avg(abs(a - g)), 6) AS mae, round(avg(abs(a - g) / greatest(abs(a), 1)) * 100, 6) AS mape, round(avg(2 * abs(a - g) / greatest(abs(a) + abs(g), 1)) * 100, 6) AS smape FROM p WHERE m >= DATE '2020-01-01' GROUP BY 1")
 def backtest_metrics_naive(spark, d):
-    g = F.lag("topic_count", 12).over(Window.partitionBy("topic_id").orderBy("period_start"))
-    p = _series(spark, d).withColumn("g", g).filter("period_start >= date'2020-01-01'")
-    e, a = F.abs(F.col("topic_count") - F.col("g")), F.abs("topic_count")
-    return p.groupBy("topic_id").agg(F.round(F.avg(e), 6).alias("mae"), F.round(F.avg(e / F.greatest(a, F.lit(1))) * 100, 6).alias("mape"), F.round(F.avg(2 * e / F.greatest(a + F.abs("g"), F.lit(1))) * 100, 6).alias("smape"))
+    x = T.backtest_with(_series(spark, d), "topic_id", "period_start", "topic_count", 12, "count", "seasonal_naive")
+    return x.select("topic_id", *[F.round(c, 6).alias(c) for c in ("mae", "mape", "smape")])
+
+
+_SD = "CASE WHEN e.sd > 0 THEN e.sd ELSE greatest(1.0, e.mean) END"
+
+
+@query(_S + f""", w AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY m) AS h, n - lag(n) OVER (PARTITION BY topic_id ORDER BY m) AS dn FROM s WHERE m >= DATE '2020-01-01'),
+e AS (SELECT topic_id, stddev_pop(dn) AS sd, avg(n) AS mean FROM w GROUP BY 1)
+SELECT w.topic_id, CAST(DATE '2020-12-01' + CAST(h AS INT) * INTERVAL 1 MONTH AS DATE) AS period_start, CAST(w.n AS DOUBLE) AS forecast, round(greatest(0, w.n - 1.96 * {_SD} * sqrt(1 + (h - 1) / 12.0)), 5) AS lower, round(w.n + 1.96 * {_SD} * sqrt(1 + (h - 1) / 12.0), 5) AS upper, 'seasonal_naive' AS model_name
+FROM w JOIN e ON e.topic_id = w.topic_id WHERE h <= 6""")
+def forecast_short_series(spark, d):
+    """The whole choice over a year of months, too few for a backtest: last year's values with an interval of the monthly changes."""
+    x = T.forecast(_series(spark, d).filter("period_start >= date'2020-01-01'"), "topic_id", "period_start", "topic_count", 6, "count")
+    return x.select("topic_id", "period_start", F.round("forecast", 6).alias("forecast"), F.round("lower", 5).alias("lower"), F.round("upper", 5).alias("upper"), "model_name")
+
+
+@query(None)
+def forecast_quality(spark, d):
+    """The scores of the three best model families of every topic, the chosen one among them."""
+    x = forecast_counts(spark, d).groupBy("topic_id").agg(F.first("quality").alias("quality"))
+    return x.select("topic_id", F.posexplode("quality").alias("place", "q")).select("topic_id", "place", "q.*")
 
 
 @query(None)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, scoring, text
+from ..operators import ingest
 from ..operators import keyphrases as KP
 from ..operators import merge as M
 from ..operators import quality as Q
@@ -100,10 +101,11 @@ def inverted_index_text(spark, d):
     return p.select("id", text.inverted_index_text(F.map_from_entries(index)).alias("abstract_text"))
 
 
+_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 _CAND = "regexp_extract_all(lower(k), '([a-z0-9]+(?:-[a-z0-9]+)*)', 1)"
 
 
-@query(f"SELECT DISTINCT k AS keyword, array_to_string({_CAND}, ' ') AS candidate FROM (SELECT unnest(extracted_keywords) AS k FROM papers) WHERE len({_CAND}) BETWEEN 1 AND 4 AND regexp_matches(array_to_string({_CAND}, ' '), '[a-z]') AND {_CAND}[1] NOT IN ('of', 'the', 'and', 'in', 'for', 'on', 'to', 'a', 'an', 'by', 'with') AND {_CAND}[-1] NOT IN ('of', 'the', 'and', 'in', 'for', 'on', 'to', 'a', 'an', 'by', 'with')")
+@query(f"SELECT DISTINCT k AS keyword, array_to_string({_CAND}, ' ') AS candidate FROM (SELECT unnest(extracted_keywords) AS k FROM papers) WHERE len({_CAND}) BETWEEN 1 AND 4 AND regexp_matches(array_to_string({_CAND}, ' '), '[a-z]') AND {_CAND}[1] NOT IN ({_STOP}) AND {_CAND}[-1] NOT IN ({_STOP})")
 def keyphrase_candidates(spark, d):
     k = V.papers(spark, d, "extracted_keywords").select(F.explode("extracted_keywords").alias("keyword")).distinct()
     return k.select("keyword", text.candidate(F.col("keyword")).alias("candidate")).filter("candidate is not null")
@@ -128,10 +130,12 @@ def merge_papers_coalesce(spark, d):
     return m.select("id", "title", F.md5("abstract").alias("abstract_md5"), "change")
 
 
-@query("""+ s AS (SELECT paper_id, topic_id, score, coalesce(CAST(score * 1e6 AS BIGINT), -1) AS seq FROM paper_topics WHERE paper_id IS NOT NULL AND topic_id IS NOT NULL)
-SELECT paper_id, topic_id, max(score) AS score FROM s GROUP BY 1, 2""")
+@query("""+ s AS (SELECT paper_id, topic_id, score, CASE WHEN score IS NULL THEN CASE WHEN paper_id % 2 = 1 THEN 1000004 ELSE -1 END ELSE CAST(floor(score * 1e6) AS BIGINT) * 7919 % 1000003 END AS seq FROM paper_topics WHERE paper_id IS NOT NULL AND topic_id IS NOT NULL)
+SELECT paper_id, topic_id, score FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, topic_id ORDER BY seq DESC) AS r FROM s) WHERE r = 1""")
 def merge_links_last_wins(spark, d):
-    s = table(spark, d, "paper_topics").filter("paper_id is not null and topic_id is not null").withColumn("seq", F.coalesce((F.col("score") * 1e6).cast("bigint"), F.lit(-1)))
+    """The last of repeated links, in an order that has nothing to do with the size of the score; a null that comes last stays."""
+    place = F.when(F.col("score").isNull(), F.when(F.col("paper_id") % 2 == 1, 1_000_004).otherwise(-1)).otherwise(F.floor(F.col("score") * 1e6).cast("bigint") * 7919 % 1_000_003)
+    s = table(spark, d, "paper_topics").filter("paper_id is not null and topic_id is not null").withColumn("seq", place)
     return M.dedupe(s, ["paper_id", "topic_id"], "seq").drop("seq")
 
 
@@ -249,13 +253,32 @@ def missing_sample_tasks(spark, d):
     return c.select("period_start", "chunk", F.size("ids").cast("bigint").alias("n"), F.array_min("ids").alias("first_id"), F.array_max("ids").alias("last_id"))
 
 
-@query("SELECT p.id, CASE WHEN is_indexed AND id % 3 = 0 THEN 'unchanged' WHEN is_indexed THEN 'changed' ELSE 'new' END AS status FROM papers p")
+_STORED = _EMB_FROM.replace("extracted_keywords", "CASE WHEN updated_at > TIMESTAMP '2024-06-01' THEN NULL ELSE extracted_keywords END").replace("FROM papers", "FROM papers WHERE is_indexed")
+
+
+@query(f"SELECT n.id, CASE WHEN o.id IS NULL THEN 'new' WHEN n.h IS NOT DISTINCT FROM o.h THEN 'unchanged' ELSE 'changed' END AS status FROM (SELECT id, sha256({_EMB}) AS h FROM {_EMB_FROM}) n LEFT JOIN (SELECT id, sha256({_EMB}) AS h FROM {_STORED}) o ON o.id = n.id")
 def indexing_plan(spark, d):
-    """Which papers to index: those whose text hash differs from the stored one (stored here for indexed papers, as of now for every third)."""
+    """Which papers to index: those whose text hash differs from the stored one. Stored are the hashes of indexed papers, of those
+    updated since June 2024 as they were without keywords."""
     now = _embedding(spark, d).select("id", text.text_hash(F.col("t")).alias("hash"))
-    old = now.join(V.papers(spark, d, "id", "is_indexed").filter("is_indexed").select("id"), "id").select("id", F.when(F.col("id") % 3 == 0, F.col("hash")).otherwise(F.lit("old")).alias("stored"))
-    s = F.when(F.col("stored").isNull(), "new").when(F.col("stored") == F.col("hash"), "unchanged").otherwise("changed")
-    return now.join(old, "id", "left").select("id", s.alias("status"))
+    p = V.papers(spark, d, "id", "title", "abstract", "extracted_keywords", "is_indexed", "updated_at").filter("is_indexed")
+    before = F.when(F.col("updated_at") > F.to_timestamp(F.lit("2024-06-01")), None).otherwise(F.col("extracted_keywords"))
+    old = p.select("id", text.text_hash(text.embedding_text(F.col("title"), F.col("abstract"), F.lit(None).cast("array<string>"), before)).alias("hash"))
+    return ingest.indexing_status(now, old, "id")
+
+
+@query("SELECT paper_id, topic_id, round(CASE WHEN s > 0 THEN (score - m) / s WHEN score IS NOT NULL THEN 0 END, 6) AS z FROM (SELECT *, avg(score) OVER (PARTITION BY paper_id) AS m, stddev_pop(score) OVER (PARTITION BY paper_id) AS s FROM v_pt)")
+def doc_zscore(spark, d):
+    x = KP.doc_zscores(V.paper_topics(spark, d), "paper_id", "score")
+    return x.select("paper_id", "topic_id", F.round("z", 6).alias("z"))
+
+
+@query("""+ w AS (SELECT paper_id, keyword, string_split(keyword, ' ') AS t FROM v_kw)
+SELECT a.paper_id, a.keyword AS term, coalesce(bool_or(len(b.t) > len(a.t) AND contains(b.keyword, a.keyword)), FALSE) AS within, coalesce(bool_or(len(b.t) < len(a.t) AND contains(a.keyword, b.keyword)), FALSE) AS holds,
+round(coalesce(max(len(list_intersect(a.t, b.t)) / CAST(len(list_distinct(list_concat(a.t, b.t))) AS DOUBLE)), 0), 6) AS overlap FROM w a LEFT JOIN w b ON b.paper_id = a.paper_id AND b.keyword <> a.keyword GROUP BY 1, 2""")
+def candidate_jaccard(spark, d):
+    k = V.papers(spark, d, "id", "extracted_keywords").select(F.col("id").alias("paper_id"), F.filter(F.transform("extracted_keywords", lambda w: F.lower(F.trim(w))), lambda w: w != "").alias("terms"))
+    return KP.candidate_overlap(k, "paper_id", "terms").withColumn("overlap", F.round("overlap", 6))
 
 
 @query(None)

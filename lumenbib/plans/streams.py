@@ -38,24 +38,35 @@ def _messages(spark, d):
 _MSG = "+ msg AS (SELECT CASE event_type WHEN 'click' THEN 'queue:paper_indexing' ELSE 'queue:keyword_extraction' END AS queue, event_id AS task_id, [user_id, event_id % 50] AS ids, 'o' || (event_id % 3) AS options FROM events WHERE event_type IN ('click', 'view')) "
 
 
-@query(_MSG + ", u AS (SELECT queue, options, task_id, unnest(ids) AS id FROM msg) SELECT m.queue, m.options, min(m.task_id) AS task_id, max(u.n) AS n_ids, count(*) AS merged FROM msg m JOIN (SELECT queue, options, count(DISTINCT id) AS n FROM u GROUP BY 1, 2) u ON u.queue = m.queue AND u.options = m.options GROUP BY 1, 2")
+_NUM = """, u AS (SELECT queue, options, task_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM msg), f AS (SELECT queue, options, id, min(task_id * 1000 + pos) AS came FROM u GROUP BY 1, 2, 3), p AS (SELECT *, row_number() OVER (PARTITION BY queue, options ORDER BY came) - 1 AS place FROM f), t AS (SELECT queue, options, min(task_id) AS task_id, count(*) AS merged FROM msg GROUP BY 1, 2) """
+
+
+@query(_MSG + _NUM + "SELECT t.queue, t.options, t.task_id, t.merged, string_agg(id, ',' ORDER BY place) AS ids FROM t JOIN p ON p.queue = t.queue AND p.options = t.options GROUP BY 1, 2, 3, 4")
 def coalesce_messages(spark, d):
-    return K.coalesce_all(_messages(spark, d), ["queue", "options"]).select("queue", "options", "task_id", F.size("ids").cast("bigint").alias("n_ids"), "merged")
+    m = K.coalesce_all(_messages(spark, d), ["queue", "options"], 1_000_000)
+    return m.select("queue", "options", "task_id", "merged", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
-@query(_MSG + """, r AS (SELECT *, CASE WHEN lag(options) OVER w IS NOT DISTINCT FROM options THEN 0 ELSE 1 END AS c FROM msg WINDOW w AS (PARTITION BY queue ORDER BY task_id)), g AS (SELECT *, sum(c) OVER (PARTITION BY queue ORDER BY task_id) AS run FROM r), p AS (SELECT *, floor((2 * row_number() OVER (PARTITION BY queue, run ORDER BY task_id) - 1) / 4) AS part FROM g)
-SELECT queue, options, min(task_id) AS task_id, count(*) AS merged FROM p GROUP BY queue, options, run, part""")
+@query(_MSG.replace("'o' || (event_id % 3) AS options", "'o' || (event_id % 3) AS options, floor(epoch(ts) / 3600) AS st") + """, r AS (SELECT *, CASE WHEN lag(options) OVER w IS NOT DISTINCT FROM options THEN 0 ELSE 1 END AS c FROM msg WINDOW w AS (PARTITION BY queue, st ORDER BY task_id)), g AS (SELECT *, sum(c) OVER (PARTITION BY queue, st ORDER BY task_id) AS run FROM r), p AS (SELECT *, floor((2 * row_number() OVER (PARTITION BY queue, st, run ORDER BY task_id) - 1) / 4) AS part FROM g),
+n AS (SELECT queue, options, st, run, part, min(task_id) AS task_id, count(*) AS merged FROM p GROUP BY ALL), i AS (SELECT queue, st, run, part, id, min(task_id * 10 + pos) AS came FROM (SELECT *, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM p) GROUP BY ALL)
+SELECT n.queue, n.options, n.task_id, n.merged, string_agg(id, ',' ORDER BY came) AS ids FROM n JOIN i ON i.queue = n.queue AND i.st = n.st AND i.run = n.run AND i.part = n.part GROUP BY n.queue, n.options, n.st, n.run, n.part, n.task_id, n.merged""")
 def coalesce_adjacent_messages(spark, d):
-    return K.coalesce_adjacent(_messages(spark, d), ["queue", "options"], 4).select("queue", "options", "task_id", "merged")
+    m = K.coalesce_adjacent(_messages(spark, d), ["queue", "options"], 4)
+    return m.select("queue", "options", "task_id", "merged", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
-@query(_MSG + ", u AS (SELECT DISTINCT queue, options, unnest(ids) AS id FROM msg), n AS (SELECT queue, options, count(*) AS n FROM u GROUP BY 1, 2) SELECT queue, options, CAST(g AS INT) AS part, least(20, n - g * 20) AS n_ids FROM n, generate_series(0, CAST(floor((n - 1) / 20) AS BIGINT)) x(g)")
+@query(_MSG + _NUM + "SELECT queue, options, CAST(floor(place / 20) AS INT) AS part, string_agg(id, ',' ORDER BY place) AS ids FROM p GROUP BY 1, 2, 3")
 def split_messages(spark, d):
-    m = K.split_oversized(K.coalesce_all(_messages(spark, d), ["queue", "options"]), 20)
-    return m.select("queue", "options", "part", F.size("ids").cast("bigint").alias("n_ids"))
+    m = K.coalesce_all(_messages(spark, d), ["queue", "options"], 20)
+    return m.select("queue", "options", "part", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query("SELECT queue, task_id, priority FROM (SELECT CASE event_type WHEN 'click' THEN 'queue:paper_indexing' ELSE 'queue:keyword_extraction' END AS queue, event_id AS task_id, CASE event_type WHEN 'click' THEN 1 ELSE 0 END AS priority FROM events WHERE event_type IN ('click', 'view'))")
+def messages_by_priority(spark, d):
+    return K.by_priority(_messages(spark, d), ["queue:keyword_extraction", "queue:paper_indexing"]).select("queue", "task_id", "priority")
 
 
-@query(None)
+@query("+ e AS (SELECT DISTINCT user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), n AS (SELECT a.user_id, a.event_type, a.t, (SELECT min(b.t) FROM e b WHERE b.user_id IS NOT DISTINCT FROM a.user_id AND b.event_type IS NOT DISTINCT FROM a.event_type AND b.t >= a.t + 86400) AS nxt FROM e a), w AS (SELECT user_id, event_type, min(t) AS t FROM e GROUP BY 1, 2 UNION ALL SELECT n.user_id, n.event_type, n.nxt FROM w JOIN n ON n.user_id IS NOT DISTINCT FROM w.user_id AND n.event_type IS NOT DISTINCT FROM w.event_type AND n.t = w.t WHERE n.nxt IS NOT NULL) SELECT user_id, event_type, t AS locked_at FROM w".replace("+ e AS", "+R e AS"))
 def dedupe_tasks_ttl(spark, d):
     """Tasks that pass a lock of a day per user and type."""
     return K.dedupe_locks(_events(spark, d), ["user_id", "event_type"], "ts", 86_400)

@@ -28,9 +28,36 @@ def read_current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v={version}")
 
 
+class WrongDimension(ValueError):
+    """Points whose vectors don't have the collection's number of values."""
+
+
 def check_points(points: DataFrame, dimension: int) -> DataFrame:
-    """Points (point_id, vector, …) of the right dimension; others are left out."""
-    return points.filter(F.col("point_id").isNotNull() & (F.size("vector") == dimension))
+    """Points (point_id, vector, …) as they are; the job that reads them fails on a vector of another size, null ones included, or a null id."""
+    ok = F.col("point_id").isNotNull() & (F.coalesce(F.size("vector"), F.lit(-1)) == dimension)
+    said = F.concat(F.lit(f"a vector must have {dimension} values: point "), F.coalesce(F.col("point_id").cast("string"), F.lit("without id")))
+    return points.withColumn("point_id", F.when(ok, F.col("point_id")).otherwise(F.raise_error(said).cast(points.schema["point_id"].dataType)))
+
+
+def create_collection(spark: SparkSession, path: str, dimension: int, distance: str = "cosine", columns: str = "point_id string, vector array<double>, payload string") -> None:
+    """An empty collection with its dimension and distance beside it; one that is there already must have the same."""
+    if distance not in ("cosine", "dot", "euclid"):
+        raise ValueError(f"unknown distance: {distance}")
+    have = describe_collection(spark, path)
+    if have is None:
+        write_version(spark.createDataFrame([], columns), path, 0)
+        spark.createDataFrame([(dimension, distance)], "dimension int, distance string").coalesce(1).write.mode("overwrite").parquet(f"{path}/SCHEMA")
+    elif have != (dimension, distance):
+        raise WrongDimension(f"the collection has {have}")
+
+
+def describe_collection(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return tuple(spark.read.parquet(f"{path}/SCHEMA").first())
+    except AnalysisException:
+        return None
 
 
 def upsert_points(collection: DataFrame, points: DataFrame, dimension: int, seq: str | None = None) -> DataFrame:

@@ -26,10 +26,10 @@ def topics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paper_keywords(spark: SparkSession, d: str) -> DataFrame:
-    """(paper_id, keyword): distinct lower-case keywords."""
-    k = table(spark, d, "papers", "id", "extracted_keywords").select(F.col("id").alias("paper_id"), F.explode("extracted_keywords").alias("k"))
-    k = k.select("paper_id", F.lower(F.trim("k")).alias("keyword"))
-    return k.filter("keyword is not null and keyword <> ''").distinct()
+    """(paper_id, keyword): distinct lower-case keywords; ids are unique, so they are made distinct within the row, without a shuffle."""
+    words = F.array_distinct(F.transform("extracted_keywords", lambda w: F.lower(F.trim(w))))
+    k = table(spark, d, "papers", "id", "extracted_keywords").select(F.col("id").alias("paper_id"), F.explode(words).alias("keyword"))
+    return k.filter("keyword is not null and keyword <> ''")
 
 
 def monthly(spark: SparkSession, d: str) -> DataFrame:
@@ -46,16 +46,22 @@ def paper_vectors(spark: SparkSession, d: str) -> DataFrame:
     return v.join(p, "id").select(F.col("id").alias("paper_id"), F.col("primary_topic_id").alias("topic_id"), "publication_date", "vector")
 
 
+def _of_all(spark: SparkSession, d: str, name: str):
+    """A column expression: the event's number as an id of the table, over the whole range of ids (a footer's worth of reading)."""
+    top = table(spark, d, name, "id").agg(F.max("id")).first()[0] or 1
+    return (F.col("event_id") % top + 1).cast("bigint")
+
+
 def favourites(spark: SparkSession, d: str) -> DataFrame:
     """(user_id, paper_id, created_at): papers that users bought, the first time each."""
     e = table(spark, d, "events", "event_id", "user_id", "event_type", "ts").filter("event_type = 'purchase'")
-    return e.groupBy("user_id", (F.col("event_id") % 1500 + 1).alias("paper_id")).agg(F.min("ts").alias("created_at"))
+    return e.groupBy("user_id", _of_all(spark, d, "papers").alias("paper_id")).agg(F.min("ts").alias("created_at"))
 
 
 def tracked_topics(spark: SparkSession, d: str) -> DataFrame:
     """(user_id, topic_id, created_at): topics that users signed up for."""
     e = table(spark, d, "events", "event_id", "user_id", "event_type", "ts").filter("event_type = 'signup'")
-    return e.groupBy("user_id", (F.col("event_id") % 40 + 1).alias("topic_id")).agg(F.min("ts").alias("created_at"))
+    return e.groupBy("user_id", _of_all(spark, d, "topics").alias("topic_id")).agg(F.min("ts").alias("created_at"))
 
 
 CTE = """
@@ -63,10 +69,12 @@ v_pt AS (SELECT paper_id, topic_id, max(score) AS score FROM paper_topics WHERE
 v_kw AS (SELECT DISTINCT paper_id, keyword FROM (SELECT id AS paper_id, lower(trim(unnest(extracted_keywords))) AS keyword FROM papers) WHERE keyword IS NOT NULL AND keyword <> ''),
 v_monthly AS (SELECT t.topic_id, CAST(date_trunc('month', p.publication_date) AS DATE) AS period_start, count(*) AS works_count FROM v_pt t JOIN papers p ON p.id = t.paper_id WHERE p.publication_date IS NOT NULL GROUP BY 1, 2),
 v_vec AS (SELECT v.id AS paper_id, p.primary_topic_id AS topic_id, p.publication_date, CAST(v.vector AS DOUBLE[]) AS vector FROM paper_points v JOIN papers p ON p.id = v.id WHERE len(v.vector) = 64 AND len(list_filter(v.vector, lambda x: x IS NULL)) = 0 AND len(list_filter(v.vector, lambda x: x <> 0)) > 0),
-v_fav AS (SELECT user_id, event_id % 1500 + 1 AS paper_id, min(ts) AS created_at FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
-v_track AS (SELECT user_id, event_id % 40 + 1 AS topic_id, min(ts) AS created_at FROM events WHERE event_type = 'signup' GROUP BY 1, 2)"""
+v_fav AS (SELECT user_id, event_id % (SELECT max(id) FROM papers) + 1 AS paper_id, min(ts) AS created_at FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
+v_track AS (SELECT user_id, event_id % (SELECT max(id) FROM topics) + 1 AS topic_id, min(ts) AS created_at FROM events WHERE event_type = 'signup' GROUP BY 1, 2)"""
 
 
 def sql(body: str) -> str:
-    """The body (CTEs first, if it has some, with a comma after each) under the view CTEs."""
-    return f"WITH {CTE.strip()}{',' if body.lstrip().startswith('+') else ''}\n{body.lstrip().removeprefix('+')}"
+    """The body (CTEs first, if it has some, after a + or, if they are recursive, +R) under the view CTEs."""
+    body = body.lstrip()
+    word = "WITH RECURSIVE" if body.startswith("+R") else "WITH"
+    return f"{word} {CTE.strip()}{',' if body.startswith('+') else ''}\n{body.removeprefix('+R').removeprefix('+')}"

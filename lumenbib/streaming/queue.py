@@ -6,14 +6,42 @@ operators, so that a micro-batch and a table give the same result; `run_queue` d
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-#: Task types that handlers exist for (fixed values).
-TASK_TYPES = ["paper_indexing", "keyword_extraction", "entity_indexing", "cluster_recompute_topics", "cluster_dynamics", "topic_quarter_report", "collect_topic_stats", "bootstrap_papers", "user_profile_recompute", "sync_clusters"]
+#: Task types of the queues (fixed values).
+TASK_TYPES = [
+    "keyword_extraction",
+    "collect_topic_stats",
+    "bootstrap_papers",
+    "resume_bootstrap_papers",
+    "paper_indexing",
+    "entity_indexing",
+    "recompute_topic_clusters",
+    "cluster_dynamics_recompute",
+    "topic_quarter_report",
+    "user_profile_recompute",
+]
+#: Queue of each task type (fixed values), in the order of priority that a worker takes them in.
+QUEUES = {
+    "keyword_extraction": "queue:keyword_extraction",
+    "collect_topic_stats": "queue:openalex_topic_stats",
+    "bootstrap_papers": "queue:openalex_bootstrap_papers",
+    "resume_bootstrap_papers": "queue:openalex_bootstrap_papers",
+    "paper_indexing": "queue:paper_indexing",
+    "entity_indexing": "queue:entity_indexing",
+    "recompute_topic_clusters": "queue:cluster_recompute",
+    "cluster_dynamics_recompute": "queue:cluster_dynamics_recompute",
+    "topic_quarter_report": "queue:topic_quarter_reports",
+    "user_profile_recompute": "queue:user_profile_recompute",
+}
+FAILED_QUEUE = "queue:failed_tasks"
 SCHEMA = "queue string, task_id bigint, task_type string, ids array<bigint>, options string, created_at timestamp"
 
 
@@ -40,26 +68,47 @@ def by_priority(messages: DataFrame, queues: list[str], hidden: list[str] = ())
     return messages.filter(F.col("queue").isin([q for q in queues if q not in hidden])).withColumn("priority", rank)
 
 
-def _distinct_in_order(parts: Column) -> Column:
-    """Distinct ids of an array of (place, ids), in order."""
-    return F.array_distinct(F.flatten(F.transform(F.array_sort(parts), lambda p: p["ids"])))
+def _numbered(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, place): the distinct ids of all messages of equal keys, numbered from 0 in the order they first came in.
 
+    An id is found by aggregation, not by gathering lists; the numbering sorts a key's distinct ids, spilling as it must.
+    """
+    each = messages.select(*keys, "task_id", F.posexplode("ids").alias("pos", "id"))
+    first = each.groupBy(*keys, "id").agg(F.min(F.struct("task_id", "pos")).alias("at"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("at")) - 1).select(*keys, "id", "place")
+
+
+def coalesce_all(messages: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """All messages of equal keys as one, cut into parts of at most limit ids: (keys, part from 0, ids, task_id, merged).
+
+    ids are the distinct ones in order of arrival, task_id the first of the key and merged how many messages it had. No
+    more than limit ids are ever gathered. Messages without ids make one part of none, if the key has no others.
+    """
+    total = messages.groupBy(*keys).agg(F.min("task_id").alias("task_id"), F.count("*").alias("merged"))
+    parts = _numbered(messages, keys).withColumn("part", F.floor(F.col("place") / limit).cast("int"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda p: p["id"])
+    parts = parts.groupBy(*keys, "part").agg(ids.alias("ids"))
+    x = total.alias("t").join(parts.alias("p"), [F.col(f"t.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys], "left")
+    empty = F.array().cast(messages.schema["ids"].dataType)
+    return x.select(*[F.col(f"t.{k}").alias(k) for k in keys], F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("ids", empty).alias("ids"), "task_id", "merged")
 
-def coalesce_all(messages: DataFrame, keys: list[str]) -> DataFrame:
-    """All messages of equal keys as one: distinct ids in order of arrival, the first task id, how many there were."""
-    g = messages.groupBy(*keys).agg(F.min("task_id").alias("task_id"), _distinct_in_order(F.collect_list(F.struct("task_id", "ids"))).alias("ids"), F.count("*").alias("merged"))
-    return g
 
+def coalesce_adjacent(messages: DataFrame, keys: list[str], limit: int, seconds: int = 3_600) -> DataFrame:
+    """Neighbouring messages of a queue with equal keys as one, up to limit ids each (counted with repeats).
 
-def coalesce_adjacent(messages: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Neighbouring messages of a queue with equal keys as one, up to limit ids each (counted with repeats)."""
-    w = Window.partitionBy("queue").orderBy("task_id")
+    A queue is walked in stretches of `seconds` of created_at, so that a queue of any length is many tasks; neighbours
+    on two sides of a stretch's end stay two messages, as they do where a batch ends.
+    """
+    stretch = F.floor(F.coalesce(F.unix_timestamp("created_at"), F.lit(0)) / seconds)
+    x = messages.withColumn("_stretch", stretch)
+    w = Window.partitionBy("queue", "_stretch").orderBy("task_id")
     change = F.coalesce(F.lag(F.struct(*keys)).over(w) != F.struct(*keys), F.lit(True)).cast("int")
-    x = messages.withColumn("_run", F.sum(change).over(w))
-    filled = F.sum(F.size("ids")).over(Window.partitionBy("queue", "_run").orderBy("task_id"))
+    x = x.withColumn("_run", F.sum(change).over(w))
+    filled = F.sum(F.size("ids")).over(Window.partitionBy("queue", "_stretch", "_run").orderBy("task_id"))
     x = x.withColumn("_part", F.floor((filled - 1) / limit))
-    g = x.groupBy("queue", "_run", "_part", *[k for k in keys if k != "queue"]).agg(F.min("task_id").alias("task_id"), _distinct_in_order(F.collect_list(F.struct("task_id", "ids"))).alias("ids"), F.count("*").alias("merged"))
-    return g.drop("_run", "_part")
+    ids = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("task_id", "ids"))), lambda p: p["ids"])))
+    g = x.groupBy("queue", "_stretch", "_run", "_part", *[k for k in keys if k != "queue"]).agg(F.min("task_id").alias("task_id"), ids.alias("ids"), F.count("*").alias("merged"))
+    return g.drop("_stretch", "_run", "_part")
 
 
 def split_oversized(messages: DataFrame, limit: int) -> DataFrame:
@@ -71,16 +120,27 @@ def split_oversized(messages: DataFrame, limit: int) -> DataFrame:
 
 
 def dedupe_locks(tasks: DataFrame, key: list[str], ts: str, ttl_seconds: int) -> DataFrame:
-    """Tasks whose key holds no lock: a task that passes locks its key for ttl seconds; one lock's length is the unit.
+    """(key, locked_at): tasks whose key holds no lock; a task that passes locks its key for ttl seconds.
 
     A key's state is its distinct seconds, put together by partial aggregation: however many rows a key has, it is no
-    larger than the span of time. They are walked in order by one fold.
+    larger than the span of time. Each key is walked once, in Arrow batches, from lock to lock by binary search.
     """
     t = F.unix_timestamp(F.col(ts))
     g = tasks.groupBy(*key).agg(F.array_sort(F.collect_set(t)).alias("_t"))
-    zero = F.array().cast("array<bigint>")
-    step = lambda acc, x: F.when((F.size(acc) == 0) | (x >= F.element_at(F.concat(F.array(F.lit(-(1 << 60)).cast("bigint")), acc), -1) + ttl_seconds), F.concat(acc, F.array(x))).otherwise(acc)
-    return g.select(*key, F.explode(F.aggregate("_t", zero, step)).alias("locked_at"))
+
+    @F.pandas_udf("array<bigint>")
+    def walk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            out = []
+            for x in s:
+                x, locks, i = np.asarray(x), [], 0
+                while i < len(x):
+                    locks.append(int(x[i]))
+                    i = int(np.searchsorted(x, x[i] + ttl_seconds))
+                out.append(locks)
+            yield pd.Series(out, dtype=object)
+
+    return g.select(*key, F.explode(walk("_t")).alias("locked_at"))
 
 
 def dead_letters(handled: DataFrame) -> DataFrame:
@@ -130,22 +190,41 @@ def sessions(events: DataFrame, gap: str, key: str = "user_id", ts: str = "ts")
     return events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def run_queue(spark: SparkSession, inbox: str, checkpoint: str, handlers: dict[str, Callable[[DataFrame], DataFrame]], out: str, limit: int = 128, max_files: int = 16) -> StreamingQuery:
-    """A bounded run over the JSON messages in inbox: dedupe, coalesce, split, dispatch by task type, results and dead letters to out.
-
-    A handler takes the messages of its type and adds the column error; types without one are dead letters.
+def run_queue(
+    spark: SparkSession,
+    inbox: str,
+    checkpoint: str,
+    handlers: dict[str, Callable[[DataFrame], DataFrame]],
+    out: str,
+    limit: int = 128,
+    max_files: int = 16,
+    queues: str | None = None,
+    hidden: list[str] = (),
+) -> StreamingQuery:
+    """A bounded run over the JSON messages in inbox: dedupe, priority, coalesce and split, dispatch by task type, results and dead letters to out.
+
+    A handler takes the messages of its type and adds the column error; it is run once a batch and its result kept for
+    both outputs. Types without a handler are dead letters. queues: names in their order of priority, all by default;
+    messages of other queues and of hidden ones (in cooldown) wait: they are written to out/waiting.
     """
+    order = list(check_queues(queues)) if queues else list(dict.fromkeys(QUEUES.values()))
 
     def batch(df: DataFrame, n: int) -> None:
-        m = split_oversized(coalesce_all(df, ["queue", "task_type", "options"]), limit).drop("merged")
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        now = by_priority(df, order, hidden)
+        df.join(now.select("queue").distinct(), "queue", "left_anti").write.mode("overwrite").json(f"{out}/waiting/batch={n}")
+        m = coalesce_all(now, ["queue", "priority", "task_type", "options"], limit).drop("merged")
         known = list(handlers)
         done = [h(m.filter(F.col("task_type") == t)) for t, h in handlers.items()]
-        done.append(m.filter(~F.col("task_type").isin(known) if known else F.lit(True)).withColumn("error", F.lit("unknown task type")))
+        done.append(m.filter(~F.coalesce(F.col("task_type").isin(known), F.lit(False)) if known else F.lit(True)).withColumn("error", F.lit("unknown task type")))
         handled = done[0].select(*done[-1].columns)
         for x in done[1:]:
             handled = handled.unionByName(x.select(*done[-1].columns))
-        handled.filter("error is null").write.mode("overwrite").parquet(f"{out}/handled/batch={n}")
+        handled = handled.persist(StorageLevel.MEMORY_AND_DISK)
+        handled.filter("error is null").orderBy("priority", "task_id", "part").write.mode("overwrite").parquet(f"{out}/handled/batch={n}")
         dead_letters(handled).write.mode("overwrite").parquet(f"{out}/dead/batch={n}")
+        handled.unpersist()
+        df.unpersist()
 
     s = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", max_files).json(inbox)
     s = s.withWatermark("created_at", "24 hours").dropDuplicatesWithinWatermark(["queue", "task_id"])

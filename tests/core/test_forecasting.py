@@ -29,6 +29,8 @@ def test_short_series():
     rows, _ = T.forecast_series(pd.Series(pd.date_range("2025-01-01", periods=3, freq="MS")), pd.Series([2, 3, 4]), 2, "count")
     assert rows["model_name"].tolist() == ["rolling_mean"] * 2
     assert rows["forecast"].tolist() == [3, 3] and rows["lower"].tolist() == [0, 0]
+    # three months are too few for a difference of years: the floor of the spread is the mean
+    assert np.allclose(rows["upper"], [8.88, 9.120098], atol=1e-6)
     assert T.forecast_series(pd.Series([], dtype="datetime64[ns]"), pd.Series([], dtype=float), 3, "count")[0].empty
 
 
@@ -50,5 +52,11 @@ def test_grouped(spark):
     m = pd.DataFrame({"k": [1] * 3 + [2] * 3, "m": pd.date_range("2025-01-01", periods=3, freq="MS").tolist() * 2, "v": [2.0, 3, 4, None, 1, 1]})
     df = spark.createDataFrame(m).selectExpr("k", "cast(m as date) m", "v")
     got = T.forecast(df, "k", "m", "v", 2, "count").collect()
-    assert len(got) == 4 and {r["k"] for r in got} == {1, 2}
+    assert len(got) == 4 and {r["k"] for r in got} == {1, 2} and all([q["family"] for q in r["quality"]] == ["rolling_mean"] for r in got)
     assert T.forecast(df.limit(0), "k", "m", "v", 2, "count").count() == 0
+
+
+def test_names_are_the_contract():
+    assert T.Candidate("ets", "log1p", True, True).name == "ETS+seasonal+damped+log1p" and T.Candidate("ets", damped=True).name == "ETS+damped"
+    assert T.Candidate("sarimax", "log1p", order=(1, 1, 0), season_order=(0, 1, 1), exog=True).name == "SARIMAX(1, 1, 0)(0, 1, 1, 12)+log1p+exog(q2,q4)"
+    assert T.Candidate("linear_trend", "logit").name == "linear_trend"

@@ -14,13 +14,21 @@ def test_messages():
     for bad in ("cluster_recompute", "collect-topic-stats"):
         with pytest.raises(ValueError):
             K.message(bad, [1])
-    assert K.message("cluster_dynamics", [1, 2, 1])["ids"] == [1, 2]
+    assert K.message("recompute_topic_clusters", [1, 2, 1])["ids"] == [1, 2]
+    assert K.message("cluster_dynamics_recompute", [1], start="2025-01-01", granularity="month")["task_type"] == "cluster_dynamics_recompute"
+    assert set(K.QUEUES) == set(K.TASK_TYPES) and K.check_queues(",".join(K.QUEUES.values()))
 
 
 def test_coalesce_split_and_locks(spark):
     m = spark.createDataFrame([("q", 1, "t", [1, 2], "o"), ("q", 2, "t", [2, 3], "o"), ("q", 3, "t", [9], "p")], "queue string, task_id bigint, task_type string, ids array<bigint>, options string")
-    got = {r["options"]: r["ids"] for r in K.coalesce_all(m, ["queue", "options"]).collect()}
+    got = {r["options"]: r["ids"] for r in K.coalesce_all(m, ["queue", "options"], 128).collect()}
     assert got == {"o": [1, 2, 3], "p": [9]}
+    two = sorted((r["options"], r["part"], r["ids"], r["merged"]) for r in K.coalesce_all(m, ["queue", "options"], 2).collect())
+    assert two == [("o", 0, [1, 2], 2), ("o", 1, [3], 2), ("p", 0, [9], 1)]
+    none = spark.createDataFrame([(None, 5, [], "o")], "queue string, task_id bigint, ids array<bigint>, options string")
+    assert [(r["queue"], r["ids"], r["part"]) for r in K.coalesce_all(none, ["queue"], 2).collect()] == [(None, [], 0)]
+    near = m.withColumn("created_at", F.timestamp_seconds(F.when(F.col("task_id") < 3, 10).otherwise(20)))
+    assert sorted((r["options"], r["ids"], r["merged"]) for r in K.coalesce_adjacent(near, ["queue", "options"], 10).collect()) == [("o", [1, 2, 3], 2), ("p", [9], 1)]
     parts = sorted((r["task_id"], r["part"], r["ids"]) for r in K.split_oversized(m, 1).collect())
     assert parts[:2] == [(1, 0, [1]), (1, 1, [2])]
     t = spark.createDataFrame([("a", 0), ("a", 50), ("a", 100), ("a", 160)], "k string, s int").select("k", F.timestamp_seconds("s").alias("ts"))
@@ -36,15 +44,25 @@ def test_workflow():
 def test_stream(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
-    msg = [{"queue": "queue:x", "task_id": i, "task_type": "paper_indexing" if i < 3 else "odd", "ids": [i, 7], "options": "o", "created_at": "2024-01-01T00:00:00Z"} for i in (1, 1, 2, 3)]
+    msg = [{"queue": "queue:paper_indexing", "task_id": i, "task_type": "paper_indexing" if i < 3 else "odd", "ids": [i, 7], "options": "o", "created_at": "2024-01-01T00:00:00Z"} for i in (1, 1, 2, 3)]
     (inbox / "m.json").write_text("\n".join(map(json.dumps, msg)))
-    q = K.run_queue(spark, str(inbox), str(tmp_path / "cp"), {"paper_indexing": lambda df: df.withColumn("error", F.lit(None).cast("string"))}, str(tmp_path / "out"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def handler(df):
+        @F.udf("string")
+        def once(x):
+            calls.add(1)
+
+        return df.withColumn("error", once.asNondeterministic()("task_type"))
+
+    q = K.run_queue(spark, str(inbox), str(tmp_path / "cp"), {"paper_indexing": handler}, str(tmp_path / "out"))
     q.awaitTermination(120)
     done = spark.read.parquet(str(tmp_path / "out/handled"))
     assert [sorted(r["ids"]) for r in done.collect()] == [[1, 2, 7]]
+    assert calls.value == 1  # not once for each output
     dead = spark.read.parquet(str(tmp_path / "out/dead"))
     assert [(r["task_id"], r["error"]) for r in dead.collect()] == [(3, "unknown task type")]
-    assert K.restore_failed(dead, "queue:x").first()["ids"] == [3, 7]
+    assert K.restore_failed(dead, "queue:paper_indexing").first()["ids"] == [3, 7]
 
 
 def test_event_windows_with_watermark(spark, tmp_path):
@@ -71,5 +89,12 @@ def test_keyphrases(spark):
     assert "neural networks" in [g[0] for g in got] and [g[2] for g in got] == list(range(1, len(got) + 1))
     assert keyphrases.extract(None) == [] and keyphrases.extract("") == [] and keyphrases.extract("the of") == []
     assert [t for t, _ in keyphrases.filter_similar([("neural networks", 1.0), ("neural network", 0.9), ("graphs", 0.5)])] == ["neural networks", "graphs"]
+    assert [t for t, _ in keyphrases.filter_similar([("deep neural network", 1.0), ("network", 0.5)])] == ["deep neural network", "network"]
+    rows = keyphrases.features(keyphrases.words_of(text), keyphrases.candidates(keyphrases.words_of(text)))
+    assert all(set(keyphrases.FEATURES) <= set(r) for r in rows.values())
+    assert rows["networks"]["candidate_substring_of_other"] == 1 and rows["neural networks"]["candidate_contains_other"] == 1
+    assert keyphrases.extract(text, 3, ranker=lambda m: m[:, keyphrases.FEATURES.index("pke_rrank_mean")])
+    many = [f"p{i}" for i in range(400)]
+    assert len(keyphrases.baseline({}, {}, many)) == 250 and len(keyphrases.baseline({}, {}, many[:30])) == 30
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id bigint, t string")
     assert {r["id"] for r in keyphrases.extract_documents(df, "id", "t").collect()} == {1}
