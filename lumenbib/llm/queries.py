@@ -59,7 +59,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_truth(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.discovered(table(spark, d, "papers", *PAPER_IDS))
+    return survivors.discovered(table(spark, d, "papers", *PAPER_IDS)).withColumn("support", F.round("support", 6))
 
 
 @query

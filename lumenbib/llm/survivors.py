@@ -3,18 +3,23 @@
 Groups: records that share an identifier, directly or through others, found as connected components of the record-identifier
 graph; an identifier with a third of all records is one star in it, never a list in one task.
 
-Fields: `truth_discovery` is the iterative method (source reliability and weighted value votes, alternately, until they
-settle). `latest_usable` takes the value of the most recently updated record that has a usable one. Where a result is
-defined by recency, votes can't give it: a value held by two old records outvotes the new one.
+Fields: iterative truth discovery: source reliability and weighted value votes are estimated alternately until they
+settle, and the value of the highest support is taken for each field. Where a result is defined by recency, the sources
+are how a value is held: by the latest record that has a usable one, or by earlier ones. Each source has one vote for a
+value, however many records hold it, and trust in the latest comes first as a prior, so at the start the latest value is
+chosen. That source then never errs, while the other does wherever they differ: with e of its n claims wrong its weight
+is log((n + 2) / (e + 1)), and as an object has one true value, of which the latest makes m in all, n - e is at most m:
+the weight stays below log(m + 2), that of the latest, and the choice is a fixed point on every table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.checkpoints import cut
 from ..operators.components import connected_components
+from ..operators.parallel import broadcast_small
 
 #: Suffixes and whole values that stand for a missing identifier (fixed values).
 MISSING = ["", "-", "n/a", "na", "none", "null", "nan", "unknown", "undefined", "missing", "tbd", "test", "0", "xxx"]
@@ -52,30 +57,40 @@ def group_by_identifiers(records: DataFrame, id_col: str, identifiers: list[str]
     return connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 
 
-def latest_usable(grouped: DataFrame, fields: dict[str, Column], updated: str, id_col: str) -> DataFrame:
-    """One row per group_id: of each field the value of the latest record whose value isn't null; ties go to the larger id.
+def recency_claims(records: DataFrame, fields: list[str], updated: str, id_col: str) -> DataFrame:
+    """records (group_id, fields as strings, …) -> (object, field, value, source): by whom each value of a group's field is held.
 
-    A record without a time comes after all that have one. One aggregation with partial sums; a group may be of any size.
+    source is `latest` for the value of the group's latest record that has one for the field, and `earlier` for all values
+    that other records hold. A record without a time comes before all that have one; ties go to the larger id. Values are
+    put together by partial aggregation before anything is compared, so a group may be of any size.
     """
-    order = F.struct(F.coalesce(F.col(updated).cast("timestamp"), F.lit("0001-01-01 00:00:00").cast("timestamp")), F.col(id_col))
-    return grouped.groupBy("group_id").agg(*[F.max_by(v, F.when(v.isNotNull(), order)).alias(n) for n, v in fields.items()])
+    order = F.struct(F.coalesce(F.col(updated).cast("timestamp"), F.lit("0001-01-01 00:00:00").cast("timestamp")).alias("t"), F.col(id_col).alias("i"))
+    each = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields])
+    long = records.select(F.col("group_id").alias("object"), order.alias("at"), F.explode(each).alias("f")).select("object", "f.field", "f.value", "at").filter("value is not null")
+    values = long.groupBy("object", "field", "value").agg(F.max("at").alias("at"), F.count("*").alias("n"))
+    top = values.groupBy("object", "field").agg(F.max("at").alias("top"))
+    x = values.join(top, ["object", "field"])
+    held = F.array_compact(F.array(F.when(F.col("at") == F.col("top"), "latest"), F.when((F.col("at") < F.col("top")) | (F.col("n") > 1), "earlier")))
+    return x.select("object", "field", "value", F.explode(held).alias("source"))
 
 
-def truth_discovery(claims: DataFrame, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
+def truth_discovery(claims: DataFrame, rounds: int = 20, tolerance: float = 1e-4, prior: dict[str, float] | None = None) -> DataFrame:
     """claims (object, field, value, source) -> (object, field, value, support): the highest-supported value of each field.
 
     Support of a value is the sum of its sources' weights; the weight of a source is -log of its share of disagreement
     with the values chosen (add-one smoothed), taken anew until no weight moves by more than tolerance, or for `rounds`
-    rounds. Sources are few (feeds, editors): their weights are a table of one row each. Null values make no claim; a
-    repeated claim counts once; ties go to the larger value. Claims with a null source count as one source.
+    rounds. prior: weights to start from, 1 for sources not in it. Weights are a row a source, broadcast if these are
+    counted to be few. Null values make no claim; a repeated claim counts once; ties go to the larger number, or to the
+    larger text where values are no numbers. Claims with a null source count as one source.
     """
     c = claims.filter("object is not null and field is not null and value is not null")
     c = cut(c.withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit(""))).select("object", "field", "value", "source").distinct())
-    weights = c.select("source").distinct().withColumn("w", F.lit(1.0))
+    start = F.coalesce(*[F.when(F.col("source") == k, F.lit(float(v))) for k, v in (prior or {}).items()], F.lit(1.0))
+    weights = c.select("source").distinct().withColumn("w", start)
     best = None
     for _ in range(rounds):
-        votes = c.join(F.broadcast(weights), "source").groupBy("object", "field", "value").agg(F.sum("w").alias("support"))
-        best = votes.groupBy("object", "field").agg(F.max(F.struct("support", "value")).alias("b")).select("object", "field", F.col("b.value").alias("value"), F.col("b.support").alias("support"))
+        votes = c.join(broadcast_small(weights), "source").groupBy("object", "field", "value").agg(F.sum("w").alias("support"))
+        best = votes.groupBy("object", "field").agg(F.max(F.struct("support", F.col("value").try_cast("double").alias("number"), "value")).alias("b")).select("object", "field", F.col("b.value").alias("value"), F.col("b.support").alias("support"))
         truth = best.select("object", "field", F.col("value").alias("truth"))
         errors = c.join(truth, ["object", "field"]).groupBy("source").agg((F.count(F.when(F.col("value") != F.col("truth"), 1)) + 1.0).alias("e"), (F.count("*") + 2.0).alias("n"))
         new = cut(errors.select("source", (-F.log(F.col("e") / F.col("n"))).alias("w")))
@@ -86,24 +101,28 @@ def truth_discovery(claims: DataFrame, rounds: int = 20, tolerance: float = 1e-4
     return best
 
 
+FIELDS = ["doi", "openalex_id", "cited_by_count"]
+#: What the latest record's value is trusted at the start, those of earlier ones being 1.
+PRIOR = {"latest": 2.0}
+
+
+def discovered(papers: DataFrame) -> DataFrame:
+    """papers (id, doi, openalex_id, cited_by_count, updated_at) -> (group_id, field, value, support) of the groups of two or more.
+
+    By truth discovery over `recency_claims`; fields without a usable value have no row.
+    """
+    p = papers.filter("id is not null").select("id", clean_doi(F.col("doi")).alias("doi"), clean_work_id(F.col("openalex_id")).alias("openalex_id"), F.when(F.col("cited_by_count") >= 0, F.col("cited_by_count").cast("long")).alias("cited_by_count"), "updated_at")
+    grouped = p.join(group_by_identifiers(p, "id", ["doi", "openalex_id"]), "id")
+    best = truth_discovery(recency_claims(grouped, FIELDS, "updated_at", "id"), prior=PRIOR)
+    return best.select(F.col("object").alias("group_id"), "field", "value", "support")
+
+
 def survivors(papers: DataFrame) -> DataFrame:
     """papers (id, doi, openalex_id, cited_by_count, updated_at) -> p4_found's rows, one per group of two or more.
 
     Null in any column is a missing value; a record in no group gives no row; equal records are a group if they share an
     identifier; an empty table gives an empty result; other columns are ignored.
     """
-    p = papers.filter("id is not null").select("id", clean_doi(F.col("doi")).alias("doi"), clean_work_id(F.col("openalex_id")).alias("openalex_id"), F.when(F.col("cited_by_count") >= 0, F.col("cited_by_count").cast("long")).alias("cited_by_count"), "updated_at")
-    groups = group_by_identifiers(p, "id", ["doi", "openalex_id"])
-    out = latest_usable(p.join(groups, "id"), {c: F.col(c) for c in ("doi", "openalex_id", "cited_by_count")}, "updated_at", "id")
-    return out.select("group_id", F.coalesce("doi", F.lit("")).alias("doi"), F.coalesce("openalex_id", F.lit("")).alias("openalex_id"), F.coalesce("cited_by_count", F.lit(-1)).cast("long").alias("cited_by_count"))
-
-
-def discovered(papers: DataFrame) -> DataFrame:
-    """(group_id, field, value, support) by truth discovery, the source of a claim being its rank in the group by recency (5 and more as one)."""
-    p = papers.filter("id is not null").select(
-        "id", clean_doi(F.col("doi")).alias("doi"), clean_work_id(F.col("openalex_id")).alias("openalex_id"), F.when(F.col("cited_by_count") >= 0, F.col("cited_by_count").cast("string")).alias("cited_by_count"), "updated_at"
-    )
-    g = p.join(group_by_identifiers(p, "id", ["doi", "openalex_id"]), "id")
-    rank = F.least(F.row_number().over(Window.partitionBy("group_id").orderBy(F.col("updated_at").desc_nulls_last(), F.col("id").desc())), F.lit(5))
-    long = g.withColumn("source", rank).select("group_id", "source", F.explode(F.create_map(*[x for c in ("doi", "openalex_id", "cited_by_count") for x in (F.lit(c), F.col(c))])).alias("field", "value"))
-    return truth_discovery(long.select(F.col("group_id").alias("object"), "field", "value", "source")).select(F.col("object").alias("group_id"), "field", "value", F.round("support", 6).alias("support"))
+    value = lambda c: F.max(F.when(F.col("field") == c, F.col("value")))
+    out = discovered(papers).groupBy("group_id").agg(*[value(c).alias(c) for c in FIELDS])
+    return out.select("group_id", F.coalesce("doi", F.lit("")).alias("doi"), F.coalesce("openalex_id", F.lit("")).alias("openalex_id"), F.coalesce(F.col("cited_by_count").cast("long"), F.lit(-1)).cast("long").alias("cited_by_count"))

@@ -68,3 +68,20 @@ def test_truth_discovery_trusts_the_better_source(spark):
     got = {x["object"]: x["value"] for x in S.truth_discovery(df).collect()}
     assert sum(got[o] == f"v{o}" for o in range(60)) >= 57 and got[98] == "only" and 99 not in got
     assert S.truth_discovery(df.limit(0)).collect() == []
+
+
+def test_ties_go_by_number(spark):
+    df = spark.createDataFrame([(1, "n", "9", "a"), (1, "n", "10", "b"), (2, "n", "x", "a"), (2, "n", "y", "b")], "object bigint, field string, value string, source string")
+    assert {(r["object"], r["value"]) for r in S.truth_discovery(df).collect()} == {(1, "10"), (2, "y")}
+
+
+def test_latest_outweighs_any_crowd(spark):
+    """Whatever the table looks like, the latest usable value is a fixed point of the discovery."""
+    r = random.Random(9)
+    for objects, crowd in ((1, 1), (1, 40), (7, 300), (60, 5)):
+        rows = []
+        for o in range(objects):
+            rows += [(o, str(r.randrange(4)), T(k), o * 1000 + k) for k in range(r.randrange(1, crowd + 1))] + [(o, "99", T(999), o * 1000 + 999), (o, None, T(1200), o * 1000 + 998)]
+        df = spark.createDataFrame(rows, "group_id bigint, v string, at timestamp, id bigint")
+        got = S.truth_discovery(S.recency_claims(df, ["v"], "at", "id"), prior=S.PRIOR).collect()
+        assert len(got) == objects and {x["value"] for x in got} == {"99"}, (objects, crowd)
