@@ -8,9 +8,11 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import vectors
-from .operators import clusters, forecasting, insights, papers, profiles
+from .functions import dates, vectors
+from .operators import cluster_tables, clusters, forecasting, insights, papers, profiles, quality
+from .operators.requests import PaperRequest, matching_papers
 from .sources import views as V
+from .streaming import queue
 
 
 class RequestError(ValueError):
@@ -65,39 +67,92 @@ def topic_insights(spark: SparkSession, d: str, topic_id: int, start: str, end:
     return out
 
 
-def user_profiles(spark: SparkSession, d: str, users: list[int] | None = None) -> DataFrame:
-    """(user_id, profile, n) of the users given, or of all; users without vectors have no row."""
+def profile_sources(spark: SparkSession, d: str, users: list[int] | None = None) -> DataFrame:
+    """(user_id, category, vector) of all six categories, for the users given or all."""
     v = V.paper_vectors(spark, d)
     only = lambda df: df if users is None else df.filter(F.col("user_id").isin(users))
     cent = vectors.mean_by(v.filter("topic_id is not null"), ["topic_id"], "vector")
     f = only(V.favourites(spark, d)).join(v.select("paper_id", "vector"), "paper_id").select("user_id", F.lit("favourite").alias("category"), "vector")
     t = only(V.tracked_topics(spark, d)).join(cent, "topic_id").select("user_id", F.lit("topic").alias("category"), F.col("centroid").alias("vector"))
-    return profiles.profile_vectors(f.unionByName(t))
+    x = only(V.tracked_levels(spark, d)).join(V.level_vectors(spark, d), ["category", "key"]).select("user_id", "category", "vector")
+    return f.unionByName(t).unionByName(x)
+
+
+def user_profiles(spark: SparkSession, d: str, users: list[int] | None = None) -> DataFrame:
+    """(user_id, profile, n) of the users given, or of all; users without vectors have no row."""
+    return profiles.profile_vectors(profile_sources(spark, d, users))
 
 
 def recompute_profile(spark: SparkSession, d: str, user_id: int) -> DataFrame:
+    """(user_id, profile, n) of one user."""
     p = user_profiles(spark, d, [user_id])
     if p.isEmpty():
-        raise NotEnoughData(f"user {user_id} has no favourite paper or tracked topic with a vector")
+        raise NotEnoughData(f"user {user_id} has no favourite paper, topic, level or keyword with a vector")
     return p
 
 
-def recommend_papers(spark: SparkSession, d: str, user_id: int, as_of: str, limit: int = 20) -> DataFrame:
-    """Papers for a user by profile, or the trending ones if there is no profile; strategy says which."""
+def profile_points(spark: SparkSession, d: str, users: list[int] | None = None) -> DataFrame:
+    """Points of the profiles with counts of their sources, to be upserted into a collection."""
+    s = profile_sources(spark, d, users)
+    return profiles.profile_points(profiles.profile_vectors(s), profiles.source_counts(s))
+
+
+def recommend_papers(spark: SparkSession, d: str, user_id: int, as_of: str, limit: int = 20, request: PaperRequest = PaperRequest(), tags: dict | None = None) -> DataFrame:
+    """Papers for a user by profile, or the trending ones if there is no profile; strategy says which.
+
+    request: conditions that papers must fit, applied before the nearest are taken; tags: levels (topics, subfields,
+    fields, domains) whose match enters the score.
+    """
     links = V.paper_topics(spark, d)
-    shown = V.papers(spark, d, "id", "title", "publication_date", "cited_by_count", "is_indexed")
+    shown = V.papers(spark, d, "id", "title", "publication_date", "cited_by_count", "is_indexed", "language", "is_open_access")
+    fits = matching_papers(shown, links, V.paper_keywords(spark, d), request)
     trends = profiles.paper_trends(links, clusters.metrics(shown, links, as_of))
     p = user_profiles(spark, d, [user_id])
     if p.isEmpty():
-        recent = papers.in_period(shown.filter("is_indexed"), str(date.fromisoformat(as_of).replace(day=1, year=date.fromisoformat(as_of).year - 3)), as_of)
+        since = request.date_from or str(date.fromisoformat(as_of).replace(day=1, year=date.fromisoformat(as_of).year - 3))
+        recent = papers.in_period(fits.filter("is_indexed"), since, as_of)
         cands, strategy = recent.select(F.col("id").alias("paper_id"), F.lit(0.0).alias("semantic")), "trending_fallback"
     else:
         fav = V.favourites(spark, d).filter(F.col("user_id") == user_id).select("paper_id")
-        cands, strategy = profiles.candidates(p, V.paper_vectors(spark, d).join(fav, "paper_id", "left_anti"), limit), "profile"
-    x = profiles.scored(cands, shown, trends, as_of).orderBy(F.desc("score"), "paper_id").limit(limit)
+        vecs = V.paper_vectors(spark, d).join(fav, "paper_id", "left_anti")
+        if request != PaperRequest():
+            vecs = vecs.join(fits.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
+        cands, strategy = profiles.candidates(p, vecs, limit), "profile"
+    tag = profiles.tag_scores(links, V.topics(spark, d), tags) if tags else None
+    x = profiles.scored(cands, shown, trends, as_of, tag).orderBy(F.desc("score"), "paper_id").limit(limit)
     return x.select("paper_id", "title", "score", F.lit(strategy).alias("strategy"))
 
 
+def recompute_clusters(spark: SparkSession, d: str, as_of: str, previous: DataFrame | None = None, force_summary: bool = False) -> DataFrame:
+    """All topic clusters of a data directory, to be written as a version of their table."""
+    p = V.papers(spark, d, "id", "title", "publication_date", "cited_by_count")
+    return cluster_tables.recompute_clusters(V.topics(spark, d), p, V.paper_topics(spark, d), V.paper_vectors(spark, d), V.paper_keywords(spark, d), as_of, previous, force_summary)
+
+
+def recompute_periods(spark: SparkSession, d: str, start: str, end: str, granularity: str, topic_ids: list[int] | None = None) -> DataFrame:
+    """The periods of all topic clusters, or of some, to be written as a version of their table."""
+    p = V.papers(spark, d, "id", "publication_date", "cited_by_count")
+    return cluster_tables.recompute_periods(p, V.paper_topics(spark, d), V.paper_vectors(spark, d), V.paper_keywords(spark, d), start, end, granularity, topic_ids)
+
+
+def analyze_coverage(spark: SparkSession, d: str, date_from: str, date_to: str, periods: DataFrame | None = None, reports: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Coverage of all topics by statistics, sample papers, cluster periods and quarter reports, and a summary of the four."""
+    t = V.topics(spark, d).select(F.col("id").alias("topic_id"))
+    months, quarters = dates.months(spark, date_from, date_to), dates.quarters(spark, date_from, date_to)
+    p = V.papers(spark, d, "primary_topic_id", "publication_date").select(F.col("primary_topic_id").alias("topic_id"), F.trunc("publication_date", "MM").alias("period_start"))
+    parts = {"publication_stats": quality.coverage(t, months, V.monthly(spark, d)), "sample_papers": quality.coverage(t, months, p)}
+    if periods is not None:
+        parts["cluster_dynamics"] = quality.period_coverage(t, months, periods)
+    if reports is not None:
+        parts["quarter_reports"] = quality.key_coverage(t, quarters, reports)
+    return {**parts, "summary": quality.coverage_summary(parts)}
+
+
+def worker(spark: SparkSession, inbox: str, checkpoint: str, handlers: dict, out: str, **options):
+    """Works off the messages in inbox and ends; see `streaming.queue.run_queue`."""
+    return queue.run_queue(spark, inbox, checkpoint, handlers, out, **options).awaitTermination()
+
+
 def cluster_summary(name: Column, titles: Column, keywords: Column, limit: int = 1400) -> Column:
     """The summary used where no text model is given: the name, foremost keywords and titles, cut to limit."""
     part = lambda label, a, n: F.when(F.size(a) > 0, F.concat(F.lit(label), F.array_join(F.slice(a, 1, n), ", "), F.lit(".")))

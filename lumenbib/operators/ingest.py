@@ -64,6 +64,83 @@ def unit_report(units: DataFrame, pages: DataFrame) -> DataFrame:
     return x.select("topic_id", "period_start", "quota", "loaded", missing.alias("missing"), (F.coalesce("last", F.lit(False)) & (missing > 0)).alias("exhausted"))
 
 
+def unit_outcomes(members: DataFrame, existing: DataFrame, key: str, skip_existing: bool = False) -> DataFrame:
+    """(unit, created, updated, skipped) of members (unit, key): records by whether their key is there already; a record counts once a unit."""
+    have = existing.select(key, F.lit(True).alias("_has")).distinct()
+    x = members.select("unit", key).distinct().join(have, key, "left")
+    n = lambda c: F.count(F.when(c, 1))
+    old = F.col("_has").isNotNull()
+    return x.groupBy("unit").agg(n(~old).alias("created"), n(old & ~F.lit(skip_existing)).alias("updated"), n(old & F.lit(skip_existing)).alias("skipped"))
+
+
+def merge_pages(pages: DataFrame) -> DataFrame:
+    """(record_id, units) of downloaded pages (unit, record_id): the units that each record belongs to, nulls left out; units are few."""
+    return pages.filter("record_id is not null and unit is not null").groupBy("record_id").agg(F.array_sort(F.collect_set("unit")).alias("units"))
+
+
+def pending_pages(planned: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Planned pages that no done one has the keys of: what a resumed download goes on with."""
+    return planned.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def backoff_seconds(attempt: int, retry_after: float | None = None, most: float = 30.0) -> float:
+    """How long to wait before a further attempt: what the server says, else half a second doubled each time, up to `most`."""
+    return float(retry_after) if retry_after is not None else min(most, 0.5 * 2**attempt)
+
+
+def scope_filter(scope: str, field_ids: list = (), subfield_ids: list = ()):
+    """The condition on topics that counts are grouped under: scope is all, field or subfield."""
+    if scope not in ("all", "field", "subfield"):
+        raise ValueError(f"scope must be all, field or subfield: {scope}")
+    if scope == "field" and field_ids:
+        return F.col("field_name").isin(list(field_ids))
+    if scope == "subfield" and subfield_ids:
+        return F.col("subfield_id").isin(list(subfield_ids))
+    return F.lit(True)
+
+
+def collect_counts(monthly: DataFrame, topics: DataFrame, date_from: str, date_to: str, scope: str = "all", field_ids: list = (), subfield_ids: list = ()) -> DataFrame:
+    """(topic_id, period_start, works_count) of the months and topics in scope: what a statistics run stores; empty months have no row."""
+    t = topics.filter(scope_filter(scope, field_ids, subfield_ids)).select(F.col("id").alias("topic_id"))
+    m = monthly.filter(F.col("period_start").between(F.trunc(F.to_date(F.lit(date_from)), "MM"), F.to_date(F.lit(date_to))))
+    return m.join(t, "topic_id", "left_semi").select("topic_id", "period_start", "works_count")
+
+
+def entity_rows(topics: DataFrame, keywords: DataFrame, links: DataFrame, papers: DataFrame, as_of: str) -> DataFrame:
+    """(point_id, entity_type, name, text, paper_count, recent_count) of domains, fields, subfields, topics and keywords.
+
+    text is the name under those of the levels above it. Topics alone have counts: of papers, and of those of the last 365 days.
+    """
+    p = papers.select(F.col("id").alias("paper_id"), "publication_date")
+    day = F.to_date(F.lit(as_of))
+    n = links.join(p, "paper_id").groupBy("topic_id").agg(F.count("*").alias("paper_count"), F.count(F.when(F.col("publication_date").between(F.date_sub(day, 365), day), 1)).alias("recent_count"))
+    none = F.lit(None).cast("bigint")
+
+    def level(kind: str, point, name: str, above: list[str]) -> DataFrame:
+        x = topics.select(point.alias("point_id"), F.col(name).alias("name"), F.concat_ws(" > ", *above, name).alias("text")).filter("name is not null").groupBy("point_id").agg(F.min("name").alias("name"), F.min("text").alias("text"))
+        return x.select("point_id", F.lit(kind).alias("entity_type"), "name", "text", none.alias("paper_count"), none.alias("recent_count"))
+
+    out = level("domain", F.concat(F.lit("domain:"), F.col("domain_name")), "domain_name", [])
+    out = out.unionByName(level("field", F.concat(F.lit("field:"), F.col("field_name")), "field_name", ["domain_name"]))
+    out = out.unionByName(level("subfield", F.concat(F.lit("subfield:"), F.col("subfield_id").cast("string")), "subfield_name", ["domain_name", "field_name"]))
+    t = topics.join(n, topics["id"] == n["topic_id"], "left").select(F.concat(F.lit("topic:"), F.col("id").cast("string")).alias("point_id"), F.lit("topic").alias("entity_type"), "name", F.concat_ws(" > ", "domain_name", "field_name", "subfield_name", "name").alias("text"), F.coalesce("paper_count", F.lit(0)).alias("paper_count"), F.coalesce("recent_count", F.lit(0)).alias("recent_count"))
+    k = keywords.select("keyword").distinct().select(F.concat(F.lit("keyword:"), F.col("keyword")).alias("point_id"), F.lit("keyword").alias("entity_type"), F.col("keyword").alias("name"), F.col("keyword").alias("text"), none.alias("paper_count"), none.alias("recent_count"))
+    return out.unionByName(t).unionByName(k)
+
+
+def entities_due(rows: DataFrame, stored: DataFrame, force: bool = False, entity_type: str | None = None) -> DataFrame:
+    """Entities to index: those without a point (point_id) yet, or all if forced, of one type if it is given."""
+    x = rows if entity_type is None else rows.filter(F.col("entity_type") == entity_type)
+    return x if force else x.join(stored.select("point_id"), "point_id", "left_anti")
+
+
+def request_status(ids: DataFrame, papers: DataFrame, done) -> DataFrame:
+    """(id, status) of the ids asked for: missing without a row in papers, skipped where done (a condition on it) holds, else ready."""
+    p = papers.select("id", F.coalesce(done, F.lit(False)).alias("_done"))
+    x = ids.select("id").distinct().join(p, "id", "left")
+    return x.select("id", F.when(F.col("_done").isNull(), "missing").when(F.col("_done"), "skipped").otherwise("ready").alias("status"))
+
+
 def normalize_works(raw: DataFrame, column: str = "raw") -> dict[str, DataFrame]:
     """JSON work records as flat tables papers, authors, institutions, topics, keywords, landings and their links; text that can't be read is left out.
 

@@ -23,6 +23,19 @@ def profile_vectors(sources: DataFrame) -> DataFrame:
     return vectors.mean_by(x, ["user_id"], "vector", F.col("w"), "profile")
 
 
+def source_counts(sources: DataFrame) -> DataFrame:
+    """(user_id, counts): a map of how many vectors each category gave, those of none left out."""
+    n = sources.filter("vector is not null").groupBy("user_id", "category").agg(F.count("*").alias("n"))
+    return n.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("counts"))
+
+
+def profile_points(profiles: DataFrame, counts: DataFrame) -> DataFrame:
+    """(point_id, vector, payload) of profiles, as a vector collection stores them: `user:<id>`, with the counts of what they are made of."""
+    x = profiles.join(counts, "user_id", "left")
+    payload = F.to_json(F.struct(F.col("user_id"), F.size("profile").alias("vector_size"), F.col("counts").alias("source_counts")), {"ignoreNullFields": "true"})
+    return x.select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("point_id"), F.col("profile").alias("vector"), payload.alias("payload"))
+
+
 def candidates(profile: DataFrame, vecs: DataFrame, limit: int) -> DataFrame:
     """The min(max(3 limit, limit), 100) nearest papers of one user's profile."""
     one = profile.limit(1).select("profile")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vectors
 from ..operators.merge import merge
 
 
@@ -72,6 +77,73 @@ def retrieve(collection: DataFrame, ids: DataFrame, with_vectors: bool = True) -
     return x if with_vectors else x.drop("vector")
 
 
+def scroll(collection: DataFrame, where: Column | None = None, with_vectors: bool = True) -> DataFrame:
+    """All points, or those that a condition on payload columns holds for; without vectors these aren't read."""
+    x = collection if where is None else collection.filter(where)
+    return x if with_vectors else x.drop("vector")
+
+
+def search(collection: DataFrame, vector: list[float], k: int, must: Column | None = None, distance: str = "cosine") -> DataFrame:
+    """The k points nearest to a vector, by the collection's distance, among those that must holds for: the other columns and score.
+
+    One request's vector is a literal in the plan; a scan keeps k rows a task. Ties go to the smaller id; points of
+    another size or without a vector aren't found.
+    """
+    v = F.array(*[F.lit(float(x)) for x in vector])
+    x = (collection if must is None else collection.filter(F.coalesce(must, F.lit(False)))).filter(F.size("vector") == len(vector))
+    dot = F.aggregate(F.zip_with("vector", v, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, b: a + b)
+    gap = F.aggregate(F.zip_with("vector", v, lambda a, b: F.pow(a.cast("double") - b, F.lit(2.0))), F.lit(0.0), lambda a, b: a + b)
+    score = {"cosine": vectors.cosine(F.col("vector"), v), "dot": dot, "euclid": -F.sqrt(gap)}[distance]
+    x = x.withColumn("score", F.round(score, 9)).drop("vector").filter("score is not null")
+    return x.orderBy(F.desc("score"), "point_id").limit(k)
+
+
+def embed(df: DataFrame, text_col: str, embedder: Callable[[list[str]], list[list[float]]], dimension: int) -> DataFrame:
+    """df with vector: what embedder makes of batches of texts, in the executors; null for null and blank texts.
+
+    The job fails if it gives another number of vectors than texts, or vectors of another size.
+    """
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            at = [i for i, t in enumerate(s) if t is not None and t.strip()]
+            got = embedder([s.iloc[i] for i in at]) if at else []
+            if len(got) != len(at) or any(len(v) != dimension for v in got):
+                raise ValueError(f"the embedder gave {len(got)} vectors for {len(at)} texts, or some not of {dimension} values")
+            out: list = [None] * len(s)
+            for i, v in zip(at, got):
+                out[i] = [float(x) for x in v]
+            yield pd.Series(out, dtype=object)
+
+    return df.withColumn("vector", run(text_col))
+
+
+def hash_embedder(dimension: int) -> Callable[[list[str]], list[list[float]]]:
+    """Unit vectors from the hashes of a text's words, the same on every machine: a stand-in where no model is there."""
+
+    def embedder(texts: list[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            v = np.zeros(dimension)
+            for w in t.lower().split():
+                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                v[h % dimension] += 1.0 if h >> 63 else -1.0
+            n = np.linalg.norm(v)
+            out.append((v / n if n else np.full(dimension, dimension**-0.5)).tolist())
+        return out
+
+    return embedder
+
+
+def complete(model: Callable[[list[dict]], str] | None, messages: list[dict], fallback: str = "", as_json: bool = False) -> str:
+    """A text model's answer to messages, or the fallback without one; with as_json an answer that is no JSON object is an error."""
+    text = model(messages) if model else fallback
+    if as_json and not isinstance(json.loads(text), dict):
+        raise ValueError("the answer is no JSON object")
+    return text
+
+
 def write_report(path: str, report: dict) -> None:
     """A small report as a JSON file on the driver."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)

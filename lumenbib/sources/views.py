@@ -64,6 +64,25 @@ def tracked_topics(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id", _of_all(spark, d, "topics").alias("topic_id")).agg(F.min("ts").alias("created_at"))
 
 
+def tracked_levels(spark: SparkSession, d: str) -> DataFrame:
+    """(user_id, category, key): levels and keywords that users follow: of the topics they signed up for, subfield, field and
+    domain, and as keywords the first word of each topic's name in lower case."""
+    t = topics(spark, d).select(F.col("id").alias("topic_id"), F.col("subfield_id").cast("string").alias("subfield"), F.col("field_name").alias("field"), F.col("domain_name").alias("domain"), F.lower(F.substring_index("name", " ", 1)).alias("keyword"))
+    x = tracked_topics(spark, d).join(t, "topic_id")
+    each = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("key")) for c in ("subfield", "field", "domain", "keyword")])
+    return x.select("user_id", F.explode(each).alias("e")).select("user_id", "e.*").filter("key is not null").distinct()
+
+
+def level_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(category, key, vector): mean vectors of subfields, fields, domains and keywords over the papers that have them."""
+    v = paper_vectors(spark, d).filter("topic_id is not null").select("paper_id", "topic_id", "vector")
+    t = topics(spark, d).select(F.col("id").alias("topic_id"), F.col("subfield_id").cast("string").alias("subfield"), F.col("field_name").alias("field"), F.col("domain_name").alias("domain"))
+    each = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("key")) for c in ("subfield", "field", "domain")])
+    levels = v.join(t, "topic_id").select("vector", F.explode(each).alias("e")).select("e.*", "vector").filter("key is not null")
+    words = paper_keywords(spark, d).join(v.select("paper_id", "vector"), "paper_id").select(F.lit("keyword").alias("category"), F.col("keyword").alias("key"), "vector")
+    return vectors.mean_by(levels.unionByName(words), ["category", "key"], "vector").select("category", "key", F.col("centroid").alias("vector"))
+
+
 CTE = """
 v_pt AS (SELECT paper_id, topic_id, max(score) AS score FROM paper_topics WHERE paper_id IS NOT NULL AND topic_id IS NOT NULL GROUP BY 1, 2),
 v_kw AS (SELECT DISTINCT paper_id, keyword FROM (SELECT id AS paper_id, lower(trim(unnest(extracted_keywords))) AS keyword FROM papers) WHERE keyword IS NOT NULL AND keyword <> ''),

@@ -172,6 +172,19 @@ def advance(stages: list[str], done: dict[str, str], missing: dict[str, int]) ->
     return "finished", None
 
 
+def heartbeats(beats: DataFrame, now: str, ttl_seconds: int = 60) -> DataFrame:
+    """(worker, last_beat, alive): the last beat (worker, ts) of each worker, alive if it is no older than ttl."""
+    g = beats.groupBy("worker").agg(F.max("ts").alias("last_beat"))
+    age = F.unix_timestamp(F.to_timestamp(F.lit(now))) - F.unix_timestamp("last_beat")
+    return g.withColumn("alive", age <= ttl_seconds)
+
+
+def request_rates(requests: DataFrame, ts: str, per_second: int) -> DataFrame:
+    """(second, n, over): requests in each second of the log, and how many more than allowed."""
+    g = requests.groupBy(F.date_trunc("second", ts).alias("second")).agg(F.count("*").alias("n"))
+    return g.withColumn("over", F.greatest(F.col("n") - per_second, F.lit(0)))
+
+
 def latest_events(events: DataFrame, key: str, ts: str) -> DataFrame:
     """The latest event of each key."""
     rest = [c for c in events.columns if c != key]
