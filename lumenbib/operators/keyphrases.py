@@ -271,6 +271,24 @@ def extract_documents(df: DataFrame, id_col: str, text_col: str, top_k: int = 10
     return spread(df.select(id_col, text_col)).mapInPandas(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, {SCHEMA}")
 
 
+def extract_papers(papers: DataFrame, top_k: int = 10, min_score: float | None = None, skip_non_english: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(keyphrases as `extract_documents` gives them, status of every paper (id, status)) of papers (id, title, abstract, language).
+
+    Papers in a language other than English, by their label, are skipped; those without a label aren't. A paper that gives
+    no keyphrase has failed. The texts are read once: both results come from one kept table of arrays.
+    """
+    from ..functions.text import is_blank
+    from .checkpoints import cut
+
+    english = is_blank(F.col("language")) | F.lower(F.trim("language")).startswith("en")
+    x = papers.select("id", F.concat_ws("\n", "title", "abstract").alias("text"), (F.coalesce(english, F.lit(True)) | F.lit(not skip_non_english)).alias("take"))
+    got = extract_documents(x.filter("take"), "id", "text", top_k, min_score=min_score)
+    got = cut(got)
+    some = got.select("id").distinct().withColumn("_some", F.lit(True))
+    status = F.when(~F.col("take"), "skipped").when(F.col("_some"), "done").otherwise("failed")
+    return got, x.select("id", "take").join(some, "id", "left").select("id", status.alias("status"))
+
+
 def doc_zscores(df: DataFrame, doc: str, value: str) -> DataFrame:
     """df with z: the value's deviation from its document's mean in population standard deviations, 0 if there is none; null for a null value."""
     g = df.groupBy(doc).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))

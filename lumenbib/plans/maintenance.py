@@ -12,6 +12,7 @@ from ..operators import merge as M
 from ..operators import quality as Q
 from ..sources import views as V
 from ..sources.parquet import table
+from ..streaming import workflow as W
 
 QUERIES, SQL = {}, {}
 
@@ -240,11 +241,25 @@ def coverage_uncovered_topics(spark, d):
     return c.filter("not covered").join(c.filter("covered").select("topic_id").distinct(), "topic_id", "left_anti").select("topic_id", "period_start")
 
 
-@query("SELECT 'indexing' AS panel, topic_id FROM (SELECT DISTINCT topic_id FROM v_pt JOIN papers p ON p.id = paper_id WHERE is_indexed) UNION ALL SELECT 'keyphrases', topic_id FROM (SELECT DISTINCT topic_id FROM v_pt JOIN papers p ON p.id = paper_id WHERE len(extracted_keywords) > 0) UNION ALL SELECT 'samples', topic_id FROM (SELECT DISTINCT topic_id FROM v_pt JOIN papers p ON p.id = paper_id) UNION ALL SELECT 'stats', topic_id FROM (SELECT DISTINCT topic_id FROM v_monthly)")
+_PN = "SELECT DISTINCT primary_topic_id FROM papers WHERE primary_topic_id IS NOT NULL AND publication_date BETWEEN DATE '2020-03-01' AND DATE '2020-03-31'"
+
+
+@query(f"SELECT 'sample-papers' AS panel, primary_topic_id AS topic_id FROM ({_PN}) UNION ALL SELECT 'indexing', primary_topic_id FROM ({_PN} AND is_indexed) UNION ALL SELECT 'keyphrases', primary_topic_id FROM ({_PN} AND len(extracted_keywords) > 0) UNION ALL SELECT 'monthly-stats', topic_id FROM v_monthly WHERE period_start = DATE '2020-03-01' UNION ALL SELECT 'cluster-dynamics', topic_id FROM (SELECT DISTINCT topic_id FROM v_monthly WHERE period_start BETWEEN DATE '2020-02-01' AND DATE '2020-03-31' AND works_count >= 2 AND last_day(period_start) >= DATE '2020-03-01') UNION ALL SELECT 'quarter-reports', topic_id FROM (SELECT DISTINCT topic_id FROM v_monthly WHERE period_start BETWEEN DATE '2020-01-01' AND DATE '2020-03-01' AND works_count >= 3)")
 def coverage_panels(spark, d):
-    p = V.papers(spark, d, "id", "is_indexed", "extracted_keywords", "publication_date").select(F.col("id").alias("paper_id"), *[F.when(c, F.lit(k)).alias(k) for k, c in {"indexing": F.col("is_indexed"), "keyphrases": F.size("extracted_keywords") > 0, "samples": F.lit(True), "stats": F.col("publication_date").isNotNull()}.items()])
-    x = V.paper_topics(spark, d).select("topic_id", "paper_id").join(p, "paper_id")
-    return x.select("topic_id", F.explode(F.array_compact(F.array("indexing", "keyphrases", "samples", "stats"))).alias("panel")).distinct().select("panel", "topic_id")
+    """Topics of all six panels in March 2020; periods are stored for months of two works and more, reports for the quarters of months of three."""
+    p = V.papers(spark, d, "primary_topic_id", "publication_date", "is_indexed", "extracted_keywords")
+    m = V.monthly(spark, d)
+    periods = m.filter("works_count >= 2").select("topic_id", "period_start", F.last_day("period_start").alias("period_end"))
+    q = F.trunc("period_start", "QUARTER")
+    reports = m.filter("works_count >= 3").select("topic_id", q.alias("period_start"), F.date_sub(F.add_months(q, 3), 1).alias("period_end")).distinct()
+    return W.covered_topics(p, m, periods, reports, "2020-03-01", "2020-03-31")
+
+
+@query(f"SELECT id, CASE WHEN NOT (length(coalesce(trim(language), '')) = 0 OR lower(trim(language)) LIKE 'en%') THEN 'skipped' ELSE 'taken' END AS status FROM papers")
+def keyphrase_status(spark, d):
+    """Which papers the extraction takes and which it skips for their language."""
+    s = KP.extract_papers(V.papers(spark, d, "id", "title", "abstract", "language"))[1]
+    return s.select("id", F.when(F.col("status") == "skipped", "skipped").otherwise("taken").alias("status"))
 
 
 @query(_COV + "SELECT period_start, CAST(floor((r - 1) / 50) AS BIGINT) AS chunk, count(*) AS n, min(topic_id) AS first_id, max(topic_id) AS last_id FROM (SELECT *, row_number() OVER (PARTITION BY period_start ORDER BY topic_id) AS r FROM cov WHERE NOT covered) GROUP BY 1, 2")

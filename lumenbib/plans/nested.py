@@ -19,7 +19,20 @@ def p1_tables(spark: SparkSession, d: str) -> DataFrame:
     return nodes.groupBy(nested.schema_path(F.col("child_path")).alias("schema_path")).agg(F.count("*").alias("n_rows"), F.countDistinct("record_id").alias("n_records"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables}
+def p1_author_affiliations(spark: SparkSession, d: str) -> DataFrame:
+    """Two of the flat tables put together by their keys: each affiliation with its author's reference."""
+    t = nested.split_by_schema(p1_found(spark, d), ["authors", "authors/affiliations"])
+    a = t["authors"].select("record_id", F.col("child_path").alias("parent_path"), F.col("child_ref").alias("author"))
+    return t["authors/affiliations"].join(a, ["record_id", "parent_path"]).select("record_id", "child_path", "author", F.col("child_ref").alias("affiliation"))
+
+
+def p1_institutions(spark: SparkSession, d: str) -> DataFrame:
+    """The table of the authors' institutions, with their own fields, by the generic shredder."""
+    t = nested.shred(table(spark, d, "external_papers", "record_id", "authors"), "record_id", ["authors"])
+    return t["authors/institutions"].select("record_id", "parent_path", "path", "place", "external_id", "display_name", "ror", "country_code")
+
+
+QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p1_author_affiliations": p1_author_affiliations, "p1_institutions": p1_institutions}
 
 _NODES = """
 WITH a AS (SELECT record_id, unnest(authors) AS e, generate_subscripts(authors, 1) AS i FROM external_papers),
@@ -49,4 +62,6 @@ UNION ALL SELECT record_id, p, p || '/' || l, ref FROM lr WHERE ref IS NOT NULL)
 SQL = {
     "p1_found": _NODES + "SELECT record_id, parent_path, child_path, child_ref FROM nodes",
     "p1_tables": _NODES + "SELECT regexp_replace(child_path, '/\\d+', '', 'g') AS schema_path, count(*) AS n_rows, count(DISTINCT record_id) AS n_records FROM nodes GROUP BY 1",
+    "p1_author_affiliations": _NODES + "SELECT f.record_id, f.child_path, n.child_ref AS author, f.child_ref AS affiliation FROM nodes f JOIN nodes n ON n.record_id = f.record_id AND n.child_path = f.parent_path WHERE regexp_replace(f.child_path, '/\\d+', '', 'g') = 'authors/affiliations'",
+    "p1_institutions": _NODES + "SELECT record_id, p AS parent_path, p || '/institutions/' || j AS path, CAST(j AS INT) AS place, x.external_id, x.display_name, x.ror, x.country_code FROM inst WHERE x IS NOT NULL",
 }
