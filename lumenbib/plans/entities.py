@@ -46,10 +46,10 @@ def works_count_filtered(spark, d):
 _PAYLOAD = "CASE WHEN json_valid(payload) THEN payload END"
 
 
-@query(f"SELECT v.id, coalesce(p.title, nullif(trim(json_extract_string(j, '$.title')), '')) AS title, coalesce(p.publication_year, try_cast(trim(json_extract_string(j, '$.publication_year')) AS INT)) AS publication_year, coalesce(p.language, nullif(trim(json_extract_string(j, '$.language')), '')) AS language, CAST(json_extract(j, '$.topic_ids') AS BIGINT[]) AS topic_ids FROM (SELECT id, {_PAYLOAD} AS j FROM paper_points) v LEFT JOIN (SELECT * FROM papers WHERE id % 2 = 0) p ON p.id = v.id")
+@query(f"SELECT v.id, coalesce(p.title, nullif(trim(json_extract_string(j, '$.title')), '')) AS title, coalesce(p.publication_year, try_cast(trim(json_extract_string(j, '$.publication_year')) AS INT)) AS publication_year, coalesce(p.language, nullif(trim(json_extract_string(j, '$.language')), '')) AS language, CAST(json_extract(j, '$.topic_ids') AS BIGINT[]) AS topic_ids FROM (SELECT id, {_PAYLOAD} AS j FROM paper_points) v LEFT JOIN (SELECT * FROM papers WHERE is_indexed) p ON p.id = v.id")
 def paper_short(spark, d):
-    """Papers of all points as answers show them; the table knows every other one."""
-    return R.short_papers(V.papers(spark, d, "id", "title", "publication_year", "language").filter("id % 2 = 0"), table(spark, d, "paper_points", "id", "payload"))
+    """Papers of all points as answers show them; of the table those that are indexed."""
+    return R.short_papers(V.papers(spark, d, "id", "title", "publication_year", "language", "is_indexed").filter("is_indexed"), table(spark, d, "paper_points", "id", "payload"))
 
 
 @query("SELECT id, list_sort(list_distinct(list_filter(list_concat([primary_topic_id], coalesce(t, [])), lambda x: x IS NOT NULL))) AS topic_ids FROM papers LEFT JOIN (SELECT paper_id, list(topic_id) AS t FROM v_pt GROUP BY 1) ON paper_id = id")
@@ -80,7 +80,7 @@ def scroll_filtered(spark, d):
     return store.scroll(_points(spark, d), R.payload_value(F.col("payload"), "publication_year", "int") == 2020, with_vectors=False).select("point_id")
 
 
-_MATCH = """+ e AS (SELECT {id}, {cols} FROM {table} WHERE {id} % 3 <> 0), i0 AS (SELECT {cols}, {id} AS seq, coalesce('{k1}:' || nullif(trim({k1}), ''), '{k2}:' || nullif(trim({k2}), '')) AS k FROM {table} WHERE {id} % 2 = 0),
+_MATCH = """+ e AS (SELECT {id}, {cols} FROM {table} WHERE {old}), i0 AS (SELECT {cols}, {id} AS seq, coalesce('{k1}:' || nullif(trim({k1}), ''), '{k2}:' || nullif(trim({k2}), '')) AS k FROM {table} WHERE {new}),
 i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM i0 WHERE k IS NOT NULL) WHERE r = 1),
 e1 AS (SELECT trim({k1}) AS k1, min({id}) AS id FROM e WHERE trim({k1}) <> '' GROUP BY 1), e2 AS (SELECT trim({k2}) AS k2, min({id}) AS id FROM e WHERE trim({k2}) <> '' GROUP BY 1),
 m AS (SELECT i.*, coalesce(e1.id, e2.id) AS id FROM i LEFT JOIN e1 ON e1.k1 = trim(i.{k1}) LEFT JOIN e2 ON e2.k2 = trim(i.{k2})),
@@ -88,81 +88,87 @@ f AS (SELECT id, {cols} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER
 """
 
 
-def _upserted(table: str, id: str, cols: list[str], k1: str, k2: str, overwrite: tuple = ()) -> str:
+#: What was collected before is stored, what was collected since comes in.
+_OLD, _NEW = "coalesce(collected_at, TIMESTAMP '2000-01-01') < TIMESTAMP '2025-03-01'", "coalesce(collected_at, TIMESTAMP '2000-01-01') >= TIMESTAMP '2024-09-01'"
+
+
+def _upserted(table: str, id: str, cols: list[str], k1: str, k2: str, overwrite: tuple = (), old: str = _OLD, new: str = _NEW) -> str:
     take = ", ".join(f"CASE WHEN f.id IS NULL THEN e.{c} ELSE {'f.' + c if c in overwrite else f'coalesce(f.{c}, e.{c})'} END AS {c}" for c in cols)
-    return _MATCH.format(table=table, id=id, cols=", ".join(cols), k1=k1, k2=k2) + f"SELECT coalesce(e.{id}, f.id) AS {id}, {take}, CASE WHEN f.id IS NULL THEN 'kept' WHEN e.{id} IS NULL THEN 'inserted' ELSE 'updated' END AS change FROM e FULL JOIN f ON f.id = e.{id}"
+    return _MATCH.format(table=table, id=id, cols=", ".join(cols), k1=k1, k2=k2, old=old, new=new) + f"SELECT coalesce(e.{id}, f.id) AS {id}, {take}, CASE WHEN f.id IS NULL THEN 'kept' WHEN e.{id} IS NULL THEN 'inserted' ELSE 'updated' END AS change FROM e FULL JOIN f ON f.id = e.{id}"
 
 
-def _halves(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Two thirds of a table as it is stored, and half of it as what comes in, known by its keys only."""
-    return df.filter(F.col(id_col) % 3 != 0), df.filter(F.col(id_col) % 2 == 0).withColumnRenamed(id_col, "seq")
+def _stored_and_new(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """A table as it was stored once, and what came in later, known by its keys only; half a year is in both."""
+    return df.filter(F.expr(_OLD)).drop("collected_at"), df.filter(F.expr(_NEW)).drop("collected_at").withColumnRenamed(id_col, "seq")
 
 
 @query(_upserted("external_authors", "author_id", ["external_id", "display_name", "orcid"], "orcid", "display_name"))
 def upsert_authors(spark, d):
-    return E.upsert_authors(*_halves(table(spark, d, "external_authors", "author_id", "external_id", "display_name", "orcid"), "author_id"), "seq")
+    return E.upsert_authors(*_stored_and_new(table(spark, d, "external_authors", "author_id", "external_id", "display_name", "orcid", "collected_at"), "author_id"), "seq")
 
 
 @query(_upserted("external_institutions", "institution_id", ["display_name", "ror", "country_code", "type"], "ror", "display_name"))
 def upsert_institutions(spark, d):
-    return E.upsert_institutions(*_halves(table(spark, d, "external_institutions", "institution_id", "display_name", "ror", "country_code", "type"), "institution_id"), "seq")
+    return E.upsert_institutions(*_stored_and_new(table(spark, d, "external_institutions", "institution_id", "display_name", "ror", "country_code", "type", "collected_at"), "institution_id"), "seq")
 
 
-@query(_upserted("topics", "id", ["openalex_id", "name", "subfield_id"], "openalex_id", "name", ("name",)))
+@query(_upserted("topics", "id", ["openalex_id", "name", "subfield_id"], "openalex_id", "name", ("name",), "domain_name <> 'Human Records'", "TRUE"))
 def upsert_topics(spark, d):
-    return E.upsert_topics(*_halves(V.topics(spark, d).select("id", "openalex_id", "name", "subfield_id"), "id"), "seq")
+    t, cols = V.topics(spark, d), ("id", "openalex_id", "name", "subfield_id")
+    return E.upsert_topics(t.filter("domain_name <> 'Human Records'").select(*cols), t.select(*cols).withColumnRenamed("id", "seq"), "seq")
 
 
-@query("+ e AS (SELECT DISTINCT keyword AS value FROM v_kw WHERE paper_id % 2 = 0), i AS (SELECT DISTINCT keyword AS value FROM v_kw) SELECT value FROM e UNION SELECT value FROM i")
+@query("SELECT DISTINCT keyword AS value FROM v_kw")
 def insert_keywords(spark, d):
     k = V.paper_keywords(spark, d)
-    return E.insert_keywords(k.filter("paper_id % 2 = 0").select(F.col("keyword").alias("value")).distinct(), k.select(F.concat(F.lit(" "), F.upper("keyword")).alias("value")))
+    known = k.join(V.papers(spark, d, "id", "is_indexed").filter("is_indexed"), F.col("paper_id") == F.col("id")).select(F.col("keyword").alias("value")).distinct()
+    return E.insert_keywords(known, k.select(F.concat(F.lit(" "), F.upper("keyword")).alias("value")))
 
 
-@query("+ e AS (SELECT min(id) AS id, field_name AS name FROM topics WHERE id % 5 = 0 GROUP BY 2), n AS (SELECT DISTINCT trim(field_name) AS name FROM topics WHERE trim(field_name) NOT IN (SELECT name FROM e)) SELECT id, name, FALSE AS created FROM e UNION ALL SELECT (SELECT max(id) FROM e) + row_number() OVER (ORDER BY name), name, TRUE FROM n")
+@query("+ e AS (SELECT min(id) AS id, field_name AS name FROM topics WHERE domain_name = 'Human Records' GROUP BY 2), n AS (SELECT DISTINCT trim(field_name) AS name FROM topics WHERE trim(field_name) NOT IN (SELECT name FROM e)) SELECT id, name, FALSE AS created FROM e UNION ALL SELECT (SELECT max(id) FROM e) + row_number() OVER (ORDER BY name), name, TRUE FROM n")
 def ensure_field_names(spark, d):
     t = V.topics(spark, d)
-    e = t.filter("id % 5 = 0").groupBy(F.col("field_name").alias("name")).agg(F.min("id").alias("id")).select("id", "name")
+    e = t.filter("domain_name = 'Human Records'").groupBy(F.col("field_name").alias("name")).agg(F.min("id").alias("id")).select("id", "name")
     return E.ensure_names(e, t.select(F.col("field_name").alias("name")))
 
 
-@query("SELECT paper_id, topic_id, score FROM v_pt WHERE paper_id % 4 <> 0 UNION ALL SELECT paper_id, topic_id, 1.0 FROM v_pt WHERE paper_id % 4 = 0 AND topic_id % 2 = 0")
+@query("SELECT paper_id, topic_id, score FROM v_pt WHERE paper_id NOT IN (SELECT id FROM papers WHERE is_indexed) UNION ALL SELECT id, primary_topic_id, 1.0 FROM papers WHERE is_indexed AND primary_topic_id IS NOT NULL")
 def replace_links(spark, d):
-    """All links of every fourth paper replaced by new ones."""
-    t = V.paper_topics(spark, d)
-    return E.replace_children(t, t.filter("paper_id % 4 = 0").select("paper_id"), t.filter("topic_id % 2 = 0").withColumn("score", F.lit(1.0)), ["paper_id"])
+    """All links of indexed papers replaced by one to their primary topic."""
+    p = V.papers(spark, d, "id", "primary_topic_id", "is_indexed").filter("is_indexed").select(F.col("id").alias("paper_id"), F.col("primary_topic_id").alias("topic_id"), F.lit(1.0).alias("score"))
+    return E.replace_children(V.paper_topics(spark, d), p, p.filter("topic_id is not null"), ["paper_id"])
 
 
-@query("SELECT DISTINCT openalex_id FROM papers WHERE id % 2 = 0 AND openalex_id IN (SELECT openalex_id FROM papers WHERE id % 3 = 0)")
+@query("SELECT DISTINCT openalex_id FROM papers WHERE NOT is_indexed AND openalex_id IN (SELECT openalex_id FROM papers WHERE is_indexed)")
 def existing_record_keys(spark, d):
-    p = V.papers(spark, d, "id", "openalex_id").filter("openalex_id is not null")
-    return E.existing_keys(p.filter("id % 3 = 0"), p.filter("id % 2 = 0"), ["openalex_id"])
+    p = V.papers(spark, d, "openalex_id", "is_indexed").filter("openalex_id is not null")
+    return E.existing_keys(p.filter("is_indexed"), p.filter("not is_indexed"), ["openalex_id"])
 
 
-@query("SELECT id, CASE WHEN id % 2 = 0 THEN TRUE ELSE is_indexed END AS is_indexed, CASE WHEN id % 2 = 0 THEN md5(title) END AS text_hash FROM papers")
+@query("SELECT id, CASE WHEN abstract IS NOT NULL THEN TRUE ELSE is_indexed END AS is_indexed, CASE WHEN abstract IS NOT NULL THEN md5(title) END AS text_hash FROM papers")
 def mark_indexed(spark, d):
-    p = V.papers(spark, d, "id", "title", "is_indexed")
+    p = V.papers(spark, d, "id", "title", "is_indexed", "abstract")
     t = p.select("id", "is_indexed", F.lit(None).cast("string").alias("text_hash"))
-    s = p.filter("id % 2 = 0").select("id", F.lit(True).alias("is_indexed"), F.md5("title").alias("text_hash"))
+    s = p.filter("abstract is not null").select("id", F.lit(True).alias("is_indexed"), F.md5("title").alias("text_hash"))
     return E.update_known(t, s, ["id"], ["is_indexed", "text_hash"])
 
 
-@query("SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN publication_date IS NULL OR cited_by_count IS NULL OR cited_by_count < 0 THEN 'failed' WHEN id % 3 = 0 THEN 'updated' ELSE 'created' END AS outcome FROM papers) GROUP BY 1")
+@query("SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN publication_date IS NULL OR cited_by_count IS NULL OR cited_by_count < 0 THEN 'failed' WHEN is_indexed THEN 'updated' ELSE 'created' END AS outcome FROM papers) GROUP BY 1")
 def import_outcomes(spark, d):
-    p = V.papers(spark, d, "id", "publication_date", "cited_by_count")
+    p = V.papers(spark, d, "id", "publication_date", "cited_by_count", "is_indexed")
     checks = {"no date": F.col("publication_date").isNull(), "citations": F.col("cited_by_count").isNull() | (F.col("cited_by_count") < 0)}
-    return E.import_checked(p, p.filter("id % 3 = 0"), "id", checks)[2]
+    return E.import_checked(p, p.filter("is_indexed"), "id", checks)[2]
 
 
-@query("SELECT 'u' || (topic_id % 20) AS unit, count(DISTINCT CASE WHEN paper_id % 3 <> 0 THEN paper_id END) AS created, count(DISTINCT CASE WHEN paper_id % 3 = 0 THEN paper_id END) AS updated, CAST(0 AS BIGINT) AS skipped FROM v_pt GROUP BY 1")
+@query("SELECT 'u' || topic_id AS unit, count(CASE WHEN x IS NULL THEN 1 END) AS created, count(x) AS updated, CAST(0 AS BIGINT) AS skipped FROM v_pt LEFT JOIN (SELECT id AS x FROM papers WHERE is_indexed) ON x = paper_id GROUP BY 1")
 def unit_outcomes(spark, d):
-    m = V.paper_topics(spark, d).select(F.concat(F.lit("u"), (F.col("topic_id") % 20).cast("string")).alias("unit"), "paper_id")
-    return ingest.unit_outcomes(m, V.papers(spark, d, "id").filter("id % 3 = 0").select(F.col("id").alias("paper_id")), "paper_id")
+    m = V.paper_topics(spark, d).select(F.concat(F.lit("u"), F.col("topic_id").cast("string")).alias("unit"), "paper_id")
+    return ingest.unit_outcomes(m, V.papers(spark, d, "id", "is_indexed").filter("is_indexed").select(F.col("id").alias("paper_id")), "paper_id")
 
 
-@query("SELECT paper_id AS record_id, string_agg(DISTINCT 'u' || (topic_id % 20), ',' ORDER BY 'u' || (topic_id % 20)) AS units FROM v_pt GROUP BY 1")
+@query("SELECT paper_id AS record_id, string_agg(DISTINCT 'u' || topic_id, ',' ORDER BY 'u' || topic_id) AS units FROM v_pt GROUP BY 1")
 def merge_pages(spark, d):
-    m = V.paper_topics(spark, d).select(F.concat(F.lit("u"), (F.col("topic_id") % 20).cast("string")).alias("unit"), F.col("paper_id").alias("record_id"))
+    m = V.paper_topics(spark, d).select(F.concat(F.lit("u"), F.col("topic_id").cast("string")).alias("unit"), F.col("paper_id").alias("record_id"))
     return ingest.merge_pages(m).select("record_id", F.array_join("units", ",").alias("units"))
 
 
@@ -186,9 +192,9 @@ def entity_rows(spark, d):
     return _entities(spark, d)
 
 
-@query(_ENT + "SELECT point_id FROM ent WHERE entity_type = 'topic' AND point_id NOT IN (SELECT 'topic:' || topic_id FROM v_pt WHERE paper_id % 10 = 0)")
+@query(_ENT + "SELECT point_id FROM ent WHERE entity_type = 'topic' AND point_id NOT IN (SELECT 'topic:' || topic_id FROM v_pt JOIN papers ON id = paper_id WHERE is_indexed AND score >= 0.5)")
 def entities_due(spark, d):
-    stored = V.paper_topics(spark, d).filter("paper_id % 10 = 0").select(F.concat(F.lit("topic:"), F.col("topic_id").cast("string")).alias("point_id")).distinct()
+    stored = V.paper_topics(spark, d).filter("score >= 0.5").join(V.papers(spark, d, "id", "is_indexed").filter("is_indexed"), F.col("paper_id") == F.col("id")).select(F.concat(F.lit("topic:"), F.col("topic_id").cast("string")).alias("point_id")).distinct()
     return ingest.entities_due(_entities(spark, d), stored, entity_type="topic").select("point_id")
 
 
