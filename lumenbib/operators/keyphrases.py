@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import statistics
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
@@ -102,24 +103,27 @@ def candidates(sents: list[list[str]], longest: int = 3) -> dict[str, list[int]]
 def yake(sents: list[list[str]], phrases: dict[str, list[int]], window: int = 8) -> dict[str, float]:
     """Lower is better: the product of the words' scores over one plus their sum, times the phrase's frequency."""
     tf, upper, places = Counter(), Counter(), defaultdict(list)
-    left, right = defaultdict(Counter), defaultdict(Counter)
+    left, right = defaultdict(set), defaultdict(set)
+    n_left, n_right = Counter(), Counter()
     for k, s in enumerate(sents):
-        for i, w in enumerate(s):
-            x = w.lower()
+        low = [w.lower() for w in s]
+        for i, x in enumerate(low):
             tf[x] += 1
-            upper[x] += i > 0 and w[0].isupper()
+            upper[x] += i > 0 and s[i][0].isupper()
             places[x].append(k)
-            for j in range(max(0, i - window), i):
-                y = s[j].lower()
-                left[x][y] += 1
-                right[y][x] += 1
+            before = low[max(0, i - window) : i]
+            left[x].update(before)
+            n_left[x] += len(before)
+            for y in before:
+                right[y].add(x)
+                n_right[y] += 1
     content = [n for w, n in tf.items() if w not in STOP] or [1]
     mean, std, most = float(np.mean(content)), float(np.std(content)), max(tf.values(), default=1)
     h = {}
     for w, n in tf.items():
-        rel = 1 + (sum(1 for _ in left[w]) / max(1, sum(left[w].values())) + len(right[w]) / max(1, sum(right[w].values()))) * n / most
+        rel = 1 + (len(left[w]) / max(1, n_left[w]) + len(right[w]) / max(1, n_right[w])) * n / most
         case = upper[w] / (1 + math.log(n))
-        position = math.log(math.log(3 + float(np.median(places[w]))) + 1e-9) if places[w] else 0.0
+        position = math.log(math.log(3 + statistics.median(places[w])) + 1e-9)
         spread = len(set(places[w])) / len(sents)
         h[w] = max(position, 0.01) * rel / (case + (n / (mean + std)) / rel + spread / rel)
     out = {}
@@ -160,11 +164,13 @@ def single_rank(sents: list[list[str]], phrases: dict[str, list[int]], window: i
     return {p: float(sum(r[ids[w]] for w in p.split() if w in ids)) for p in phrases}
 
 
-def filter_similar(ranked: list[tuple[str, float]], overlap: float = 0.67, jaccard: float = 0.50, gap: float = 0.005) -> list[tuple[str, float]]:
-    """Greedy from the best: a term goes if one kept has the same tokens, or holds enough of them, by the smaller of both and by their union, and scores clearly more."""
+def filter_similar(ranked: list[tuple[str, float]], overlap: float = 0.67, jaccard: float = 0.50, gap: float = 0.005, most: int | None = None) -> list[tuple[str, float]]:
+    """Greedy from the best, until `most` are kept: a term goes if one kept has the same tokens, or holds enough of them, by the smaller of both and by their union, and scores clearly more."""
     kept: list[tuple[str, float, frozenset[str]]] = []
     scale = max((abs(s) for _, s in ranked), default=1.0) or 1.0
     for term, score in ranked:
+        if most is not None and len(kept) >= most:
+            break
         t = frozenset(stem(w) for w in term.split())
 
         def covers(u: frozenset[str], other: float) -> bool:
@@ -188,8 +194,8 @@ def baseline(ry: dict[str, int], rs: dict[str, int], phrases: list[str]) -> list
 
 def zscores(x: list[float]) -> list[float]:
     """Deviations from the mean in population standard deviations; 0 if there is none."""
-    std = float(np.std(x)) if x else 0.0
-    return [(v - float(np.mean(x))) / std if std > 0 else 0.0 for v in x]
+    mean, std = (float(np.mean(x)), float(np.std(x))) if x else (0.0, 0.0)
+    return [(v - mean) / std if std > 0 else 0.0 for v in x]
 
 
 def competition(phrases: list[str]) -> list[tuple[float, float, float]]:
@@ -198,16 +204,21 @@ def competition(phrases: list[str]) -> list[tuple[float, float, float]]:
         return [(0.0, 0.0, 0.0)] * len(phrases)
     tokens = [frozenset(p.split()) for p in phrases]
     size = [len(p.split()) for p in phrases]
+    known = set(phrases)
     having: dict[str, list[int]] = defaultdict(list)
     for i, t in enumerate(tokens):
         for w in t:
             having[w].append(i)
+    # all phrases of more, and of fewer, tokens as one text each, so that a phrase is looked up in one search
+    longer = {n: "\n".join(p for p, m in zip(phrases, size) if m > n) for n in set(size)}
+    shorter = {n: [p for p, m in zip(phrases, size) if m < n] for n in set(size)}
     out = []
     for i, p in enumerate(phrases):
+        parts = p.split()
+        # most phrases hold one of their own words or pairs; only for the others all shorter ones are tried
+        held = any(" ".join(parts[a:b]) in known for a in range(size[i]) for b in range(a + 1, size[i] + 1) if b - a < size[i]) or any(q in p for q in shorter[size[i]])
         near = {j for w in tokens[i] for j in having[w]} - {i}
-        within = any(size[j] > size[i] and p in q for j, q in enumerate(phrases))
-        holds = any(size[j] < size[i] and q in p for j, q in enumerate(phrases))
-        out.append((float(within), float(holds), max((len(tokens[i] & tokens[j]) / len(tokens[i] | tokens[j]) for j in near), default=0.0)))
+        out.append((float(p in longer[size[i]]), float(held), max((len(tokens[i] & tokens[j]) / len(tokens[i] | tokens[j]) for j in near), default=0.0)))
     return out
 
 
@@ -257,7 +268,7 @@ def extract(text: str | None, top_k: int = 10, weights: dict[str, float] | None
     keep = list(rows)
     scores = ranker(np.array([[rows[p][f] for f in FEATURES] for p in keep])).tolist() if ranker else [sum(v * rows[p][k] for k, v in w.items()) for p in keep]
     ranked = sorted(zip(keep, zscores(scores)), key=lambda t: (-t[1], min(phrases[t[0]]), t[0]))
-    return [(p, round(x, 6), i, min(phrases[p])) for i, (p, x) in enumerate(filter_similar(ranked)[: top_k if top_k >= 0 else None], 1)]
+    return [(p, round(x, 6), i, min(phrases[p])) for i, (p, x) in enumerate(filter_similar(ranked, most=top_k if top_k >= 0 else None), 1)]
 
 
 def extract_documents(df: DataFrame, id_col: str, text_col: str, top_k: int = 10, weights: dict[str, float] | None = None, min_score: float | None = None) -> DataFrame:
