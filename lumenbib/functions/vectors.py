@@ -1,7 +1,9 @@
-"""Vector arithmetic: scalar expressions on arrays, and means as aggregations per dimension."""
+"""Vector arithmetic: scalar expressions on arrays, and means as aggregations."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +42,11 @@ def usable(v: Column, d: int) -> Column:
 
 
 def mean_by(df: DataFrame, keys: list[str], vector: str, weight: Column | None = None, name: str = "centroid") -> DataFrame:
-    """Keys with the (weighted) mean vector and the number of vectors n: one partial aggregation per (key, dimension)."""
+    """Keys with the (weighted) mean vector and the number of vectors n, by one aggregation with a vector as its partial state.
+
+    Null and empty vectors take no part; vectors of unlike length within a group fail the job.
+    """
     w = F.lit(1.0) if weight is None else weight
-    long = df.select(*keys, w.alias("_w"), F.posexplode(doubles(F.col(vector))).alias("_i", "_x"))
-    dims = long.groupBy(*keys, "_i").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"), F.count("*").alias("_n"))
-    agg = dims.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_v"), F.max("_n").alias("n"))
-    return agg.select(*keys, F.transform("_v", lambda s: s["_m"]).alias(name), "n")
+    x = df.filter(F.size(vector) > 0).select(*keys, w.alias("_w"), array_to_vector(doubles(F.col(vector))).alias("_x"))
+    agg = x.groupBy(*keys).agg(Summarizer.mean(F.col("_x"), F.col("_w")).alias("_m"), F.count("*").alias("n"))
+    return agg.select(*keys, vector_to_array("_m").alias(name), "n")

@@ -102,3 +102,9 @@ def best_landing(target: DataFrame, source: DataFrame, strict: bool = False) ->
         r = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.col("is_best").desc_nulls_last(), "landing_url"))
         out = out.withColumn("is_best", F.when(F.col("is_best") & (r > 1), F.lit(False)).otherwise(F.col("is_best")))
     return out
+
+
+def listed_landings(landings: DataFrame) -> DataFrame:
+    """Landings (paper_id, landing_url, is_best) with place from 1: the best first, null last, then by address."""
+    r = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.col("is_best").desc_nulls_last(), "landing_url"))
+    return landings.withColumn("place", r)

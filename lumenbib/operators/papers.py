@@ -24,6 +24,41 @@ def by_id(df: DataFrame, key: str, value) -> DataFrame:
     return df.filter(F.col(key) == value)
 
 
+def one_by(df: DataFrame, key: str, value) -> DataFrame:
+    """The row of a unique key; at most one, the smallest id, where the key isn't unique after all."""
+    return df.filter(F.col(key) == value).orderBy("id").limit(1)
+
+
+def list_ids(df: DataFrame, key: str, limit: int, offset: int = 0) -> DataFrame:
+    """A page of the distinct values of key, in order."""
+    return page(df.select(key).filter(F.col(key).isNotNull()).distinct(), [F.col(key)], limit, offset)
+
+
+def topics_for_stats(topics: DataFrame, limit: int | None = None, offset: int = 0, fields: list[str] = (), subfield_ids: list[int] = ()) -> DataFrame:
+    """Topics of the fields and subfields named, or all, in order of id, or a page of them."""
+    x = topics
+    if fields:
+        x = x.filter(F.col("field_name").isin(list(fields)))
+    if subfield_ids:
+        x = x.filter(F.col("subfield_id").isin(list(subfield_ids)))
+    return x if limit is None else page(x, [F.col("id")], limit, offset)
+
+
+def count_topic_papers(df: DataFrame, links: DataFrame, date_from: str, date_to: str, topic_match: str = "soft") -> DataFrame:
+    """(topic_id, n): distinct papers of each topic in the period."""
+    x = in_period(topic_links(df, links, topic_match), date_from, date_to)
+    return x.select("topic_id", "paper_id").distinct().groupBy("topic_id").agg(F.count("*").alias("n"))
+
+
+def work_candidates(df: DataFrame, panel: str, date_from: str, date_to: str, topic_ids: list[int] | None = None) -> DataFrame:
+    """Papers of the period (of primary topics named, or all) that a panel still has to do: indexing, or keyphrases."""
+    todo = {"indexing": ~F.coalesce(F.col("is_indexed"), F.lit(False)), "keyphrases": F.coalesce(F.size("extracted_keywords") <= 0, F.lit(True))}
+    if panel not in todo:
+        raise ValueError(f"panel must be one of {sorted(todo)}: {panel}")
+    x = in_period(df.filter(todo[panel]), date_from, date_to)
+    return x if topic_ids is None else x.filter(F.col("primary_topic_id").isin(topic_ids))
+
+
 def by_ids(df: DataFrame, ids: list[int], key: str = "id") -> DataFrame:
     """Rows with one of the ids, an IN list that reaches the scan; many ids are joined instead."""
     if len(ids) <= 100:

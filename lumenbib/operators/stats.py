@@ -45,3 +45,14 @@ def anomaly_summary(estimates: DataFrame, topics: DataFrame) -> DataFrame:
     )
     names = F.when(F.col("level") == 3, "year").when(F.col("level") == 1, "year_field").when(F.col("level") == 2, "year_subfield").otherwise("total")
     return agg.select(names.alias("grouping_name"), "stat_year", "field_name", "subfield_name", "topics", "artificial")
+
+
+def january_rows(january: DataFrame, topics: DataFrame, year_from: int, year_to: int, min_estimate: int = 1, fields: list[str] = (), subfield_ids: list[int] = ()) -> DataFrame:
+    """January artefacts of the years, of at least min_estimate, with the topic's names; of the fields and subfields named, or all."""
+    t = topics.select(F.col("id").alias("topic_id"), "name", "subfield_id", "subfield_name", "field_name")
+    x = january.filter(F.col("stat_year").between(year_from, year_to) & (F.col("artificial") >= min_estimate)).join(t, "topic_id", "left")
+    if fields:
+        x = x.filter(F.col("field_name").isin(list(fields)))
+    if subfield_ids:
+        x = x.filter(F.col("subfield_id").isin(list(subfield_ids)))
+    return x.select("topic_id", "name", "subfield_name", "field_name", "stat_year", "january", "artificial").orderBy("stat_year", F.desc("artificial"), "topic_id")

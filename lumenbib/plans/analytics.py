@@ -278,3 +278,24 @@ def keyword_evolution_matrix(spark, d):
     top = k.groupBy("keyword").agg(F.sum("n").alias("s")).orderBy(F.desc("s"), "keyword").limit(10).select("keyword")
     grid = top.crossJoin(F.broadcast(k.select("period").distinct()))  # ten keywords by the periods of a year
     return grid.join(k, ["keyword", "period"], "left").select("keyword", "period", F.coalesce("n", F.lit(0)).alias("weight"))
+
+
+@query(_NOV + ", n AS (SELECT topic_id, CASE WHEN sum(cur) > 0 THEN sum(cur * (1 - prev)) / CAST(sum(cur) AS DOUBLE) END AS v FROM k GROUP BY 1) SELECT topic_id, CASE WHEN v IS NULL THEN NULL WHEN v >= 0.66 THEN 'high' WHEN v >= 0.33 THEN 'medium' ELSE 'low' END AS level FROM n")
+def novelty_levels(spark, d):
+    n = I.novelty(V.paper_keywords(spark, d), V.paper_topics(spark, d), _p(spark, d), "2020-12-01", 12)
+    return n.select("topic_id", I.decomposition_level(F.col("novelty")).alias("level"))
+
+
+@query("SELECT paper_id, round(list_sum(list_transform(vector, lambda x: x)) / sqrt(list_sum(list_transform(vector, lambda x: x * x))), 6) AS s FROM v_vec")
+def unit_vector_sums(spark, d):
+    u = vectors.unit(F.col("vector"))
+    return V.paper_vectors(spark, d).select("paper_id", F.round(F.aggregate(u, F.lit(0.0), lambda a, x: a + x), 6).alias("s"))
+
+
+@query("SELECT DISTINCT cluster_key, period_start FROM (SELECT 'topic:' || topic_id AS cluster_key, CAST(date_trunc('month', publication_date) AS DATE) AS period_start FROM v_vec WHERE topic_id IS NOT NULL AND publication_date BETWEEN DATE '2019-01-01' AND DATE '2019-12-31')")
+def points_in_window(spark, d):
+    """Cluster months that have points, by the date as text that a payload holds."""
+    v = V.paper_vectors(spark, d).filter("topic_id is not null").withColumn("payload_date", F.concat(F.col("publication_date").cast("string"), F.lit("T00:00:00")))
+    day = F.substring("payload_date", 1, 10).try_cast("date")
+    x = v.withColumn("day", day).filter(F.col("day").between(F.to_date(F.lit("2019-01-01")), F.to_date(F.lit("2019-12-31"))))
+    return x.select(F.concat(F.lit("topic:"), F.col("topic_id").cast("string")).alias("cluster_key"), F.trunc("day", "MM").alias("period_start")).distinct()

@@ -181,6 +181,28 @@ def landing_best_flag(spark, d):
     return M.best_landing(t, s)
 
 
+_LAND = "(SELECT id AS paper_id, 'https://doi.example/' || doi AS landing_url, is_open_access AS is_best FROM papers WHERE doi IS NOT NULL UNION ALL SELECT id, 'https://work.example/' || openalex_id, FALSE FROM papers WHERE openalex_id IS NOT NULL)"
+
+
+@query(f"SELECT paper_id, landing_url, is_best, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY is_best DESC NULLS LAST, landing_url) AS INT) AS place FROM {_LAND}")
+def landings_listed(spark, d):
+    p = V.papers(spark, d, "id", "doi", "openalex_id", "is_open_access")
+    a = p.filter("doi is not null").select(F.col("id").alias("paper_id"), F.concat(F.lit("https://doi.example/"), "doi").alias("landing_url"), F.col("is_open_access").alias("is_best"))
+    b = p.filter("openalex_id is not null").select(F.col("id").alias("paper_id"), F.concat(F.lit("https://work.example/"), "openalex_id").alias("landing_url"), F.lit(False).alias("is_best"))
+    return M.listed_landings(a.unionByName(b))
+
+
+@query("+ x AS (SELECT record_id, external_id, unnest(authors) AS a, generate_subscripts(authors, 1) AS i FROM external_papers WHERE external_id IS NOT NULL) SELECT record_id, regexp_extract(regexp_replace(external_id, '/+$', ''), '[^/]*$') AS paper_key, coalesce(regexp_extract(regexp_replace(a.external_id, '/+$', ''), '[^/]*$'), lower(trim(a.display_name))) AS author_key, trim(a.display_name) AS display_name, CAST(i AS INT) AS author_order FROM x WHERE a IS NOT NULL")
+def works_normalized(spark, d):
+    """Records of the feed as JSON work records, normalised again: their authors in order."""
+    x = table(spark, d, "external_papers", "record_id", "external_id", "authors").filter("external_id is not null")
+    who = F.transform("authors", lambda a: F.when(a.isNotNull(), F.struct(F.struct(a["external_id"].alias("id"), a["display_name"].alias("display_name"), a["orcid"].alias("orcid")).alias("author"), a["is_corresponding"].alias("is_corresponding"))))
+    # the record's number rides on the work's id, so that equal works of several records stay apart
+    work = F.concat(F.regexp_replace("external_id", "/+$", ""), F.lit("#"), F.col("record_id").cast("string"))
+    a = ingest.normalize_works(x.select(F.to_json(F.struct(work.alias("id"), who.alias("authorships"))).alias("raw")))["authors"]
+    return a.select(F.substring_index("paper_key", "#", -1).cast("bigint").alias("record_id"), F.substring_index("paper_key", "#", 1).alias("paper_key"), "author_key", "display_name", "author_order")
+
+
 # quality and coverage
 
 _TESTS = {
@@ -212,6 +234,18 @@ def dq_safe_fix_plan(spark, d):
     return Q.safe_fix(V.papers(spark, d, "id", "doi"), "doi", text.normalize_doi(F.col("doi")), "id")
 
 
+@query("SELECT id, title AS old, trim(title) AS new FROM papers WHERE title <> trim(title) AND trim(title) <> ''")
+def dq_trim_plan(spark, d):
+    return Q.trimmed(V.papers(spark, d, "id", "title"), "title", "id")
+
+
+@query("+ k AS (SELECT DISTINCT w, lower(trim(w)) AS n FROM (SELECT unnest(extracted_keywords) AS w FROM papers) WHERE w IS NOT NULL) SELECT w AS id, w AS old, n AS new FROM k WHERE n <> '' AND w <> n AND n IN (SELECT n FROM k GROUP BY n HAVING count(*) = 1)")
+def dq_keyword_plan(spark, d):
+    """Keywords to write in lower case, unless another one is written so already."""
+    k = V.papers(spark, d, "extracted_keywords").select(F.explode("extracted_keywords").alias("w")).filter("w is not null").distinct()
+    return Q.safe_fix(k, "w", text.normalize_keyword(F.col("w")), "w")
+
+
 _COV = """+ grid AS (SELECT o.id AS topic_id, CAST(g AS DATE) AS period_start FROM topics o, generate_series(DATE '2020-01-01', DATE '2020-12-01', INTERVAL 1 MONTH) x(g)),
 cov AS (SELECT g.topic_id, g.period_start, m.topic_id IS NOT NULL AS covered FROM grid g LEFT JOIN v_monthly m ON m.topic_id = g.topic_id AND m.period_start = g.period_start) """
 

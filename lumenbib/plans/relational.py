@@ -231,3 +231,49 @@ def field_summary(spark, d):
 @query("SELECT id, period_key FROM (SELECT id, year(publication_date) || '-Q' || quarter(publication_date) AS period_key FROM papers WHERE publication_date IS NOT NULL)")
 def quarter_keys(spark, d):
     return V.papers(spark, d, "id", "publication_date").filter("publication_date is not null").select("id", dates.quarter_key(F.col("publication_date")).alias("period_key"))
+
+
+@query("SELECT id, title FROM papers WHERE doi = (SELECT min(doi) FROM papers) ORDER BY id LIMIT 1")
+def paper_by_doi(spark, d):
+    p = V.papers(spark, d, "id", "title", "doi")
+    return P.one_by(p, "doi", p.agg(F.min("doi")).first()[0]).select("id", "title")
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL ORDER BY user_id LIMIT 25 OFFSET 50")
+def user_ids_page(spark, d):
+    return P.list_ids(table(spark, d, "events", "user_id"), "user_id", 25, 50)
+
+
+@query("SELECT id, name FROM topics WHERE field_name = 'Networks Science' ORDER BY id LIMIT 10 OFFSET 3")
+def topics_for_stats(spark, d):
+    return P.topics_for_stats(V.topics(spark, d), 10, 3, ["Networks Science"]).select("id", "name")
+
+
+@query(f"SELECT topic_id, count(DISTINCT paper_id) AS n FROM v_pt JOIN papers p ON p.id = paper_id WHERE publication_date BETWEEN DATE '{FROM}' AND DATE '{TO}' GROUP BY 1")
+def count_distinct_by_topic(spark, d):
+    return P.count_topic_papers(V.papers(spark, d, "id", "publication_date"), V.paper_topics(spark, d), FROM, TO)
+
+
+@query(f"SELECT 'indexing' AS panel, id FROM papers WHERE NOT coalesce(is_indexed, FALSE) AND publication_date BETWEEN DATE '{FROM}' AND DATE '{TO}' UNION ALL SELECT 'keyphrases', id FROM papers WHERE coalesce(len(extracted_keywords), 0) = 0 AND publication_date BETWEEN DATE '{FROM}' AND DATE '{TO}'")
+def work_candidates(spark, d):
+    p = V.papers(spark, d, "id", "publication_date", "is_indexed", "extracted_keywords", "primary_topic_id")
+    parts = [P.work_candidates(p, panel, FROM, TO).select(F.lit(panel).alias("panel"), "id") for panel in ("indexing", "keyphrases")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT t.id, t.name, s.subfield_name, s.field_name, f.domain_name FROM topics t LEFT JOIN (SELECT subfield_id, min(subfield_name) AS subfield_name, min(field_name) AS field_name FROM topics GROUP BY 1) s ON s.subfield_id = t.subfield_id LEFT JOIN (SELECT field_name, min(domain_name) AS domain_name FROM topics GROUP BY 1) f ON f.field_name = s.field_name")
+def topics_with_hierarchy(spark, d):
+    """The hierarchy put together again from its levels."""
+    t = V.topics(spark, d)
+    s = t.groupBy(F.col("subfield_id").alias("id")).agg(F.min("subfield_name").alias("name"), F.min("field_name").alias("field"))
+    return V.topic_hierarchy(t, s, t.groupBy(F.col("field_name").alias("name")).agg(F.min("domain_name").alias("domain")))
+
+
+@query(_JAN + "SELECT js.topic_id, o.name, o.subfield_name, o.field_name, stat_year, january, artificial FROM js LEFT JOIN topics o ON o.id = js.topic_id WHERE stat_year BETWEEN 2015 AND 2020 AND artificial >= 1 AND o.subfield_id IN (1, 2, 3, 4)")
+def january_anomaly_rows(spark, d):
+    return S.january_rows(_january(spark, d), V.topics(spark, d), 2015, 2020, 1, subfield_ids=[1, 2, 3, 4])
+
+
+@query("SELECT DISTINCT user_id, u.category, u.key FROM (SELECT user_id, unnest([{'category': 'subfield', 'key': CAST(o.subfield_id AS VARCHAR)}, {'category': 'field', 'key': o.field_name}, {'category': 'domain', 'key': o.domain_name}, {'category': 'keyword', 'key': lower(split_part(o.name, ' ', 1))}]) AS u FROM v_track t JOIN topics o ON o.id = t.topic_id)")
+def tracked_levels(spark, d):
+    return V.tracked_levels(spark, d)

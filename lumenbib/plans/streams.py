@@ -113,3 +113,10 @@ def plan_pages(spark, d):
 def record_author_counts(spark, d):
     x = table(spark, d, "external_papers", "record_id", "authors").select("record_id", F.explode("authors").alias("a")).filter("a is not null")
     return x.groupBy("record_id").agg(F.count("*").alias("n_authors"), F.countDistinct("a.external_id").alias("n_ids"), F.count(F.when(F.col("a.is_corresponding"), 1)).alias("n_corresponding"))
+
+
+@query(_UNITS + ", m AS (SELECT topic_id, period_start, works_count FROM v_monthly) SELECT q.topic_id, q.period_start, quota, coalesce(works_count, 0) AS loaded, greatest(quota - coalesce(works_count, 0), 0) AS missing, coalesce(works_count < 3, FALSE) AND greatest(quota - coalesce(works_count, 0), 0) > 0 AS exhausted FROM q LEFT JOIN m ON m.topic_id = q.topic_id AND m.period_start = q.period_start")
+def unit_report(spark, d):
+    """What each planned unit got; a unit of fewer than three works is taken as exhausted."""
+    pages = V.monthly(spark, d).select("topic_id", "period_start", F.col("works_count").alias("loaded"), (F.col("works_count") < 3).alias("last"))
+    return ingest.unit_report(_units(spark, d), pages)

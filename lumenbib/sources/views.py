@@ -25,6 +25,13 @@ def topics(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "topics", "id", "openalex_id", "name", "subfield_id", "subfield_name", "field_name", "domain_name")
 
 
+def topic_hierarchy(topics: DataFrame, subfields: DataFrame, fields: DataFrame) -> DataFrame:
+    """Topics (id, name, subfield_id) with the names above them: subfields (id, name, field), fields (name, domain); left joins, so an unknown level is null."""
+    s = subfields.select(F.col("id").alias("subfield_id"), F.col("name").alias("subfield_name"), F.col("field").alias("field_name"))
+    f = fields.select(F.col("name").alias("field_name"), F.col("domain").alias("domain_name"))
+    return topics.select("id", "name", "subfield_id").join(s, "subfield_id", "left").join(f, "field_name", "left").select("id", "name", "subfield_name", "field_name", "domain_name")
+
+
 def paper_keywords(spark: SparkSession, d: str) -> DataFrame:
     """(paper_id, keyword): distinct lower-case keywords; ids are unique, so they are made distinct within the row, without a shuffle."""
     words = F.array_distinct(F.transform("extracted_keywords", lambda w: F.lower(F.trim(w))))
