@@ -5,9 +5,11 @@ forms, transcriptions, one slip of the pen); the forms are exploded and joined o
 or an organisation for persons, nothing for organisations). A candidate's score is the rarity of the forms it shares:
 the sum over them of one over the number of different spellings that have the form. Whole forms, in which nothing is
 left out, are evidence however many spellings have them; partial ones (an initial, a slip, a short form) only down to
-MIN_SCORE, so a form that a crowd of spellings has in common links nobody by itself and pairs up no crowd. Candidates
-are then checked name against name, and what is linked is closed to entities by connected components. Records that are
-alike in all that counts are one node, so a hot name is a few nodes and not all pairs of its records.
+MIN_SCORE, so a form that a crowd of spellings has in common links nobody by itself. No pair is left out for that: those of
+a crowd are all compared, too, and linked unless one of them is ambiguous, which a name is that is alike to two of the
+crowd whose given names contradict each other. Candidates are checked name against name, and what is linked is closed to
+entities by connected components. Records that are alike in all that counts are one node, so a hot name is a few nodes
+and not all pairs of its records.
 """
 
 from __future__ import annotations
@@ -304,8 +306,8 @@ def _alike(f):
 def _candidates(forms: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """forms (key, whole, node; key a number) -> pairs a < b that share a key, with score: the sum over shared keys of one over its nodes.
 
-    Whole keys count whatever their size, partial ones if at most 1 / min_score nodes have them. Nodes are distinct
-    spellings. One shuffle brings a key's nodes together: the window counts them before any are gathered, and of keys
+    Whole keys count whatever their size, partial ones if at most 1 / min_score nodes have them; for the rest see
+    `_crowd`. Nodes are distinct spellings. One shuffle brings a key's nodes together: the window counts them before any are gathered, and of keys
     within the bound the pairs are made in place; larger whole keys are joined, where adaptive execution splits them.
     """
     bound = int(round(1 / min_score))
@@ -319,6 +321,37 @@ def _candidates(forms: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     return pairs.unionByName(more).groupBy("a", "b").agg(F.sum("rarity").alias("score"))
 
 
+def _crowd(forms: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """forms (key, whole, node) -> (key, node) of the partial keys that `_candidates` makes no pairs of."""
+    sized = forms.withColumn("size", F.count("*").over(Window.partitionBy("key")))
+    return sized.filter(~F.col("whole") & (F.col("size") > int(round(1 / min_score)))).select("key", "node")
+
+
+def _crowd_pairs(crowd: DataFrame) -> DataFrame:
+    """crowd (key, node) -> all pairs a < b that share a key, with a score of 0."""
+    return crowd.withColumnRenamed("node", "a").join(crowd.withColumnRenamed("node", "b"), "key").filter("a < b").select("a", "b", F.lit(0.0).alias("score")).distinct()
+
+
+def givens_clash(names: list[str]) -> bool:
+    """Whether the given names of any two of the names contradict each other."""
+    readings = list({frozenset(g for _, g, _ in parse_person(n)) for n in names})
+    return any(not any(_givens_alike(g, h) for g in a for h in b) for i, a in enumerate(readings) for b in readings[i + 1 :])
+
+
+def _crowd_edges(crowd: DataFrame, nodes: DataFrame) -> DataFrame:
+    """crowd (key, node) of persons -> (a, b): equal spellings, and those that are alike and neither of which is ambiguous."""
+    named = crowd.join(nodes.select("node", "name"), "node")
+    first = named.groupBy("key", "name").agg(F.min("node").alias("a"))
+    same = named.join(first, ["key", "name"]).filter("a < node").select("a", F.col("node").alias("b"))
+    side = lambda end: first.select("key", F.col("a").alias(end), F.col("name").alias(f"name_{end}"))
+    alike = side("a").join(side("b"), "key").filter("a < b").drop("key").distinct().filter(_alike(persons_alike)("name_a", "name_b"))
+    around = alike.select(F.col("a").alias("node"), F.col("name_b").alias("name")).unionByName(alike.select(F.col("b").alias("node"), F.col("name_a").alias("name")))
+    clear = around.groupBy("node").agg(F.collect_set("name").alias("names")).filter(~_udf(givens_clash, "boolean")("names")).select("node")
+    for end in "ab":
+        alike = alike.join(clear.withColumnRenamed("node", end), end, "left_semi")
+    return same.unionByName(alike.select("a", "b"))
+
+
 def _checked(pairs: DataFrame, nodes: DataFrame, carry: list[str], test, alike) -> DataFrame:
     """Pairs (a, b, score) whose nodes pass test(suffix function) on the columns carried, then alike, name against name."""
     for end in "ab":
@@ -350,7 +383,7 @@ def link_institutions(df: DataFrame) -> DataFrame:
     bare = F.col("form").startswith("b:")
     forms = forms.filter(~bare | F.col("ror").isNotNull()).select(F.xxhash64("form", F.when(bare, F.col("ror"))).alias("key"), F.col("form").startswith("=").alias("whole"), "node")
     ok = lambda c: F.col(f"{c}_a").isNull() | F.col(f"{c}_b").isNull() | (F.col(f"{c}_a") == F.col(f"{c}_b"))
-    edges = _checked(_candidates(forms), grouped, ["ror", "country"], ok("ror") & ok("country"), orgs_alike)
+    edges = _checked(_candidates(forms).unionByName(_crowd_pairs(_crowd(forms))), grouped, ["ror", "country"], ok("ror") & ok("country"), orgs_alike)
     closed = _closed(grouped, edges)
     on = [base[c].eqNullSafe(closed[c]) for c in same]
     return base.join(closed, on[0] & on[1] & on[2] & on[3]).select("institution_id", "entity")
@@ -374,8 +407,8 @@ def link_authors(df: DataFrame, organisations: DataFrame) -> DataFrame:
     forms = forms.select("node", "forms", block.alias("block")).select("node", "block", F.explode("forms").alias("form"))
     forms = forms.select(F.xxhash64("block", "form").alias("key"), F.col("form").startswith("=").alias("whole"), "node")
     shared = F.coalesce(F.col("orcid_a") == F.col("orcid_b"), F.lit(False)) | F.coalesce(F.col("org_a") == F.col("org_b"), F.lit(False))
-    edges = _checked(_candidates(forms), grouped, ["orcid", "org"], shared, persons_alike)
-    closed = _closed(grouped, edges)
+    edges = _checked(_candidates(forms), grouped, ["orcid", "org"], shared, persons_alike).select("a", "b")
+    closed = _closed(grouped, edges.unionByName(_crowd_edges(_crowd(forms), grouped)))
     on = [base[c].eqNullSafe(closed[c]) for c in same]
     return base.join(closed, on[0] & on[1] & on[2] & on[3]).select("author_id", "entity")
 

@@ -66,6 +66,21 @@ def test_rarity_decides_on_partial_forms(spark):
     assert links[100] == links[101] == 100 and links[102] == links[103] == 102 and len({links[k] for k in range(70)}) == 70
 
 
+def test_no_pair_of_a_crowd_is_left_out(spark):
+    # 70 spellings of one person, as many namesakes by initials in one organisation, and records of three of these
+    rows = [(k, f"{'' if k % 2 else 'Dr '}Zelwick{'' if k < 2 else chr(95 + k // 2)}, R.", None, 1) for k in range(50)] + [(50 + k, "Zelwick, R.", f"0000-0001-0000-{k:03}1", 1) for k in range(30)]
+    rows += [(100 + k, f"Smith, R. {chr(65 + k % 26)}. {chr(65 + k // 26)}.", None, 1) for k in range(70)] + [(200, "Rosalind A. A. Smith", None, 1), (201, "Roland C. B. Smith", None, 1), (202, "Smith RC B", None, 1)]
+    a = spark.createDataFrame(rows, "author_id bigint, display_name string, orcid string, institution_id bigint")
+    links = {r["author_id"]: r["entity"] for r in N.link_authors(a, spark.createDataFrame([(1, 1)], "institution_id bigint, entity bigint")).collect()}
+    assert {links[k] for k in range(80)} == {0}
+    assert links[200] == links[100] and links[201] == links[202] == links[128] and len({links[k] for k in range(100, 170)}) == 70
+    # 80 organisations of one short form
+    rows = [(k, "Meburunu Institute of Ecology", f"0a00000{k:02}", None) for k in range(80)] + [(100 + k, "MIE (Meburunu)", f"0a00000{k:02}", None) for k in range(80)]
+    i = spark.createDataFrame(rows, "institution_id bigint, display_name string, ror string, country_code string")
+    links = {r["institution_id"]: r["entity"] for r in N.link_institutions(i).collect()}
+    assert all(links[k] == links[100 + k] == k for k in range(80))
+
+
 def test_entities(spark):
     i = spark.createDataFrame([(1, "Meburunu University", None, None), (2, "University of Meburunu", None, None)], "institution_id bigint, display_name string, ror string, country_code string")
     a = spark.createDataFrame([(1, "Ann Kess", None, 1), (2, "A. Kess", None, 2), (3, None, None, None)], "author_id bigint, display_name string, orcid string, institution_id bigint")
