@@ -11,14 +11,15 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.parallel import spread
+from ..operators.parallel import spread, spread_groups
 
 #: Encodings in which UTF-8 bytes may have been read (fixed values); cp1252 stands for latin-1, too.
 FAMILIES = ["cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman"]
@@ -195,8 +196,17 @@ def _strong(text: str, encoding: str, span: tuple[int, int, str]) -> bool:
     return not _cyrillic(decoded) and not (a and _cyrillic(text[a - 1]))
 
 
+@lru_cache(maxsize=None)
+def any_start() -> re.Pattern:
+    """What `start_of` of any encoding finds, and more: one search for the many texts that have nothing of the kind."""
+    pairs = [start_of(e).pattern[1:-1].split("][") for e in FAMILIES]
+    return re.compile("[" + "".join(f for f, _ in pairs) + "][" + "".join(n for _, n in pairs) + "]")
+
+
 def repair_once(text: str) -> str | None:
     """One round over multibyte spans, in the encoding whose spans cover most; None if there are none."""
+    if not any_start().search(text) and not _SPACED.search(text):
+        return None
     best, chosen = 0, None
     for e in FAMILIES:
         spaced = e in ("cp1252", "cp1250") and _SPACED.search(text)
@@ -233,22 +243,34 @@ class WordModel:
 
     def __init__(self, texts: list[str], usual: frozenset[str] = frozenset()):
         self.usual = usual
-
-        self.c1, self.c2, self.c3, self.h2, self.alone = Counter(), Counter(), Counter(), Counter(), Counter()
-        self.texts = len(texts)
+        tokens, alone = Counter(), Counter()
         for t in texts:
-            tokens = _TOKEN.findall(t)
-            self.alone.update({w.strip(".,;:()") for w in tokens if not w.isascii() and len(w.strip(".,;:()")) == 1})
-            for w in tokens:
-                x = self._norm(w)
-                self.c1.update(x)
-                self.c2.update(zip(x, x[1:]))
-                self.c3.update(zip(x, x[1:], x[2:]))
+            found = _TOKEN.findall(t)
+            tokens.update(found)
+            alone.update(single_letters(found))
+        self.c1, self.c2, self.c3 = grams_of(tokens)
+        self.alone, self.texts = alone, len(texts)
+        self._sum_up()
+
+    def _sum_up(self) -> None:
+        self.h2 = Counter()
         for (a, b), n in self.c2.items():
             self.h2[a] += n
         self.n = sum(self.c1.values())
         self._cache: dict[str, float] = {}
 
+    def with_counts(self, counts: dict[int, Counter], usual: frozenset[str] = frozenset()) -> WordModel:
+        """The model of this one's texts and those of `gram_counts`."""
+        m = WordModel([], usual)
+        m.c1, m.c2, m.c3, m.alone = (Counter(c) for c in (self.c1, self.c2, self.c3, self.alone))
+        m.c1.update(counts[1])
+        m.c2.update({tuple(k): n for k, n in counts[2].items()})
+        m.c3.update({tuple(k): n for k, n in counts[3].items()})
+        m.alone.update(counts[4])
+        m.texts = self.texts + counts[0][""]
+        m._sum_up()
+        return m
+
     @staticmethod
     def _norm(word: str) -> str:
         return "\x02\x02" + re.sub(r"\d", "0", word.lower()) + "\x03"
@@ -272,6 +294,25 @@ class WordModel:
         return got
 
 
+def single_letters(tokens: list[str]) -> set[str]:
+    """Characters that stand alone among the tokens of a text and aren't ASCII."""
+    return {w.strip(".,;:()") for w in tokens if not w.isascii() and len(w.strip(".,;:()")) == 1}
+
+
+def grams_of(tokens: dict[str, int]) -> tuple[Counter, Counter, Counter]:
+    """How often characters, bigrams and trigrams occur in tokens that occur so often."""
+    c1, c2, c3 = Counter(), Counter(), Counter()
+    for w, n in tokens.items():
+        x = WordModel._norm(w)
+        for a in x:
+            c1[a] += n
+        for k in zip(x, x[1:]):
+            c2[k] += n
+        for k in zip(x, x[1:], x[2:]):
+            c3[k] += n
+    return c1, c2, c3
+
+
 @lru_cache(maxsize=None)
 def _reread(was: str, read: str) -> dict[int, str | None]:
     """Translation of characters read in one encoding into what the other has at their bytes; None where it has nothing."""
@@ -394,14 +435,19 @@ def least_usual(docs: int) -> int:
     return max(4, docs // 1000)
 
 
-def usual_words(counts: dict[str, int], docs: int, seeds: list[str], times: int = TIMES) -> frozenset[str]:
+def _learnt(seeds: list[str] | tuple[WordModel, frozenset[str]]) -> tuple[WordModel, frozenset[str]]:
+    """The model of the seeds and their words, which may have been counted already."""
+    return seeds if isinstance(seeds, tuple) else (WordModel(seeds), frozenset(count_words(seeds)))
+
+
+def usual_words(counts: dict[str, int], docs: int, seeds: list[str] | tuple[WordModel, frozenset[str]], times: int = TIMES) -> frozenset[str]:
     """The frequent words that stand as they are, whatever they might be read as.
 
     Frequency alone doesn't make a word clean, as a source or a family of copies may be garbled as a whole: the word must
     be a likely one by the seeds, or `times` as frequent as any word it may be reread as, with no reading of two or more
     characters in it that turns an unlikely word into a likely one.
     """
-    clean, known = WordModel(seeds), frozenset(count_words(seeds))
+    clean, known = _learnt(seeds)
 
     def stands(w: str) -> bool:
         if w in known or not _odd(w, clean):
@@ -425,43 +471,67 @@ def is_plain(text: str, model: WordModel) -> bool:
     return text.isascii() or (repair_once(text) is None and repair_bytes(text, model, letters=False) is None)
 
 
-def fit_words(seeds: list[str], texts: list[str], usual: frozenset[str] | None = None, judge: Callable[[list[str], WordModel], list[bool]] | None = None) -> WordModel:
-    """A model of seeds, which are clean, and of those texts that nothing is found to mend in.
+def fit_words(seeds: list[str], texts: list[str], usual: frozenset[str] | None = None) -> WordModel:
+    """A model of seeds, which are clean, and of those texts that nothing is found to mend in; `train` fits one in Spark.
 
     usual: words left alone, by default those of `usual_words` in texts. A text is judged by a model of the seeds, then by
-    one of the seeds and the other half of the texts, never by one that has learnt it. judge: `is_plain` of many texts.
+    one of the seeds and the other half of the texts, never by one that has learnt it.
     """
     if usual is None:
         usual = usual_words(count_words(texts), len(texts), seeds)
-    judge = judge or (lambda ts, m: [is_plain(t, m) for t in ts])
-    keep = lambda ts, m: [t for t, ok in zip(ts, judge(ts, m)) if ok]
-    first = set(keep(texts, WordModel(seeds, usual)))
-    halves = [[t for t in texts[k::2] if t in first] for k in (0, 1)]
+    first = WordModel(seeds, usual)
+    halves = [[t for t in texts if half_of(t) == k and is_plain(t, first)] for k in (0, 1)]
     models = [WordModel(seeds + h, usual) for h in halves]
-    return WordModel(seeds + [t for k in (0, 1) for t in keep(halves[k], models[1 - k])], usual)
-
+    return WordModel(seeds + [t for k in (0, 1) for t in halves[k] if is_plain(t, models[1 - k])], usual)
 
-def _spark_judge(spark: SparkSession) -> Callable[[list[str], WordModel], list[bool]]:
-    """`is_plain` of a bounded list of texts, judged in the executors."""
 
-    def judge(texts: list[str], model: WordModel) -> list[bool]:
-        out = [t.isascii() for t in texts]
-        rest = [(i, t) for i, t in enumerate(texts) if not out[i]]
-        if not rest:
-            return out
-        shared = spark.sparkContext.broadcast(model)
+def half_of(text: str) -> int:
+    """Which half of the texts a text is in."""
+    return crc32(text.encode()) & 1
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            m = shared.value
-            for b in batches:
-                yield pd.DataFrame({"i": b["i"], "ok": [is_plain(t, m) for t in b["t"]]})
 
-        df = spark.createDataFrame(rest, "i int, t string").repartition(spark.sparkContext.defaultParallelism)
-        for r in df.mapInPandas(run, "i int, ok boolean").collect():
-            out[r["i"]] = r["ok"]
-        return out
+def gram_counts(df: DataFrame, models: list[WordModel] = [], words: bool = False) -> list[dict[int, Counter]]:
+    """For either half of the texts (one column, not null) that are plain by the models, counts by kind: 0 texts, 1 to 3
+    characters, bigrams and trigrams of tokens as strings, 4 letters that stand alone, 5 (with words) those of `count_words`.
 
-    return judge
+    models: one for all, and behind it one that judges half 0 and one that judges half 1. Each task counts its tokens and
+    sends what they hold; what is collected is bounded by the grams there are, not by the texts.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judges = shared.value
+        held = [(Counter(), Counter(), Counter(), Counter()) for _ in (0, 1)]
+
+        def sent() -> Iterator[pd.DataFrame]:
+            for half, (texts, tokens, alone, own) in enumerate(held):
+                c1, c2, c3 = grams_of(tokens)
+                rows = [(half, kind, "".join(k), n) for kind, c in ((0, texts), (1, c1), (2, c2), (3, c3), (4, alone), (5, own)) for k, n in c.items()]
+                yield pd.DataFrame(rows, columns=["half", "kind", "gram", "n"])
+                for c in held[half]:
+                    c.clear()
+
+        for f in batches:
+            for t in f.iloc[:, 0]:
+                half = half_of(t)
+                if all(is_plain(t, m) for m in (judges[:1] + judges[1 + half : 2 + half])):
+                    texts, tokens, alone, own = held[half]
+                    found = _TOKEN.findall(t)
+                    texts[""] += 1
+                    tokens.update(found)
+                    if not t.isascii():
+                        alone.update(single_letters(found))
+                        if words:
+                            own.update(count_words([t]))
+            if max(len(h[1]) for h in held) > 300_000:
+                yield from sent()
+        yield from sent()
+
+    got = df.mapInPandas(run, "half int, kind int, gram string, n bigint").groupBy("half", "kind", "gram").agg(F.sum("n").alias("n")).toPandas()
+    out: list[dict[int, Counter]] = [{k: Counter() for k in range(6)} for _ in (0, 1)]
+    for half, kind, gram, n in zip(got["half"], got["kind"], got["gram"], got["n"]):
+        out[half][kind][gram] = int(n)
+    return out
 
 
 def _shown(text: str, at: int) -> bool:
@@ -486,7 +556,7 @@ def restore(text: str, model: WordModel | None) -> tuple[str, bool]:
     return out, lost
 
 
-def word_counts(documents: DataFrame, docs: int, seeds: list[str]) -> dict[str, int]:
+def word_counts(documents: DataFrame, docs: int, seeds: list[str] | tuple[WordModel, frozenset[str]]) -> dict[str, int]:
     """In how many distinct documents (one text column) the words of `count_words` occur, counted in Spark over all of them.
 
     Left out are words too rare to be usual or to speak against a usual one; what is collected is bounded by that. Words
@@ -501,7 +571,7 @@ def word_counts(documents: DataFrame, docs: int, seeds: list[str]) -> dict[str,
     least = least_usual(docs)
     rows = some.select(F.explode(words).alias("w")).filter(F.length("w") > 1).groupBy("w").agg(F.count("*").alias("n"))
     counts = {r["w"]: r["n"] for r in rows.filter(F.col("n") * TIMES >= least).collect()}
-    clean, known = WordModel(seeds), frozenset(count_words(seeds))
+    clean, known = _learnt(seeds)
     odd = {w for w, n in counts.items() if n >= least and w not in known and _odd(w, clean)}
     odd |= {x for w in odd for pair in PAIRS for x in [reread_token(w, *pair)] if x in counts}
     if odd:
@@ -511,21 +581,23 @@ def word_counts(documents: DataFrame, docs: int, seeds: list[str]) -> dict[str,
     return counts
 
 
-def train(samples: DataFrame, documents: DataFrame, sample_texts: int = 4_000, seed_rows: int = 100_000) -> WordModel:
-    """The word model of up to `seed_rows` samples and up to `sample_texts` documents (one text column each; samples are clean).
-
-    Both are taken by their hashes, so the draw is the same whatever the partitioning: samples with the smallest ones, and
-    documents below a threshold that lets twice as many rows pass, copies of one text counting once. Which words are
-    usual is counted over all documents.
-    """
-    spark = documents.sparkSession
-    first = samples.columns[0]
-    seeds = [r[0] for r in samples.dropna().orderBy(F.xxhash64(first), first).limit(seed_rows).collect()]
-    column = documents.columns[0]
-    docs = documents.dropna().count()
-    below = F.pmod(F.xxhash64(column), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 2 * sample_texts / max(docs, 1)))
-    some = [r[0] for r in documents.dropna().filter(below).distinct().orderBy(F.xxhash64(column), column).limit(sample_texts).collect()]
-    return fit_words(seeds, some, usual_words(word_counts(documents, docs, seeds), docs, seeds), _spark_judge(spark))
+def train(samples: DataFrame, documents: DataFrame) -> WordModel:
+    """The word model of all samples (one text column, as in documents; samples are clean) and of all documents that nothing
+    is found to mend in, copies of one text counting once: `fit_words`, counted in Spark. Which words are usual is counted
+    over all documents, too."""
+    documents = documents.dropna()
+    docs = documents.count()
+    seeds, known = WordModel([]), frozenset()
+    for half in gram_counts(spread(samples.dropna()), words=True):
+        seeds, known = seeds.with_counts(half), known | frozenset(half[5])
+    usual = usual_words(word_counts(documents, docs, (seeds, known)), docs, (seeds, known))
+    seeds.usual = usual
+    texts = spread_groups(documents, documents.columns[0]).distinct()  # no more shuffle for that
+    halves = [seeds.with_counts(h, usual) for h in gram_counts(texts, [seeds])]
+    model = seeds
+    for half in gram_counts(texts, [seeds, *halves[::-1]]):
+        model = model.with_counts(half, usual)
+    return model
 
 
 def restore_documents(df: DataFrame, model: WordModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

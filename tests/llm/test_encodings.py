@@ -89,6 +89,18 @@ def test_usual_words(spark, garbled_family):
     assert E.word_counts(hot, len(texts) + 400, seeds).get("Íàøèìè", 0) <= 1 + once.get("Íàøèìè", 0)
 
 
+def test_model_learns_from_all_texts(spark):
+    seeds = [r[0] for r in duckdb.sql(f"select sample_text from '{D}/lang_samples.parquet'").fetchall()]
+    # more texts than the 4 000 that were drawn, each with words of its own
+    texts = [f"Der Wert {k} bleibt größer für Straße{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}." for k in range(6000)] + clean_texts()[:200] + ["plain ascii", "naïve • и"]
+    a, b = spark.createDataFrame([(x,) for x in seeds], "t string"), spark.createDataFrame([(x,) for x in texts + texts[:300] + [None]], "t string")
+    got = E.train(a, b)
+    want = E.fit_words(seeds, list(dict.fromkeys(texts)), got.usual)
+    assert (got.c1, got.c2, got.c3, got.h2, got.alone, got.texts) == (want.c1, want.c2, want.c3, want.h2, want.alone, want.texts)
+    assert got.texts > 6000
+    assert E.train(a, b.limit(0)).texts == len(seeds)
+
+
 def test_decoys(model):
     for t in ["SÃO 36, ÎLE 36, ÄÖÜ 36: station codes.", "In old exports the pair “Ã©” stands where the letter “é” was meant; section 7 explains why.", "Ð and ð (eth) occur in sample 195.", "Â · Ã · Ä · Å are plotted as markers", "10\xa0000 € – 302\xa0%", "第183章 概要 と 結果", "plain ascii", "The value is 12.4 µm ± 0.4 at −4 °C", "🙂 ✓ naïve étude"]:
         assert E.restore(t, model) == (t, False), t
